@@ -49,6 +49,10 @@ def _own_size(span: Span, sizes: list[int]) -> Column:
     return out
 
 
+def _tagged_bins(lo: Column, hi: Column, size: int) -> Column:
+    return F.transform(bin_range(lo, hi, size), lambda b: F.struct(F.lit(size).alias("size"), b.alias("bin")))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, lspan: Span, rspan: Span, *, bin_size: int = BIN,
                   equal: dict[str, str] | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Every overlapping (left, right) pair exactly once.
@@ -60,10 +64,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lspan: Span, rspan: Span, *
     equal = equal or {}
     sizes = _levels(right, rspan, bin_size)
     lo, hi = F.col(lspan.lo), F.col(lspan.hi)
-    probes = [
-        F.transform(bin_range(lo, hi, s), lambda b, s=s: F.struct(F.lit(s).alias("size"), b.alias("bin")))
-        for s in sizes
-    ]
+    probes = [_tagged_bins(lo, hi, s) for s in sizes]
     probe = probes[0] if len(probes) == 1 else F.flatten(F.array(*probes))
     lhs = left.withColumn("_p", F.explode(probe)).withColumns({"_size": F.col("_p.size"), "_bin": F.col("_p.bin")}).drop("_p")
     own = _own_size(rspan, sizes)

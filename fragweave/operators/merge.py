@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,10 @@ def merge_feature_stats(stats: DataFrame, key: list[str]) -> DataFrame:
     return t.select(*key, "n", "minimum", "maximum", F.try_divide("_m", n).alias("mean"), F.sqrt(F.try_divide("_v", n)).alias("sd"))
 
 
+def _entries(col: str) -> Column:
+    return F.transform(col, lambda v, i: F.struct(F.lit(col).alias("kind"), i.alias("i"), v.cast("long").alias("v")))
+
+
 def merge_genotypes(calls: DataFrame, variant: list[str], patient: str, library: str) -> DataFrame:
     """One genotype per variant and patient from several libraries.
 
@@ -49,9 +53,7 @@ def merge_genotypes(calls: DataFrame, variant: list[str], patient: str, library:
     seed = calls.groupBy(*key).agg(F.min(F.struct(library, "gt", "ad", "pl", "dp", "gq")).alias("_s"))
     called = calls.where(F.col("called"))
     scalars = called.groupBy(*key, "gt").agg(F.sum("dp").cast("long").alias("dp"), F.sum("gq").cast("long").alias("gq"))
-    entries = called.select(*key, "gt", F.inline(F.concat(*[
-        F.transform(col, lambda v, i, col=col: F.struct(F.lit(col).alias("kind"), i.alias("i"), v.cast("long").alias("v")))
-        for col in ("ad", "pl")])))
+    entries = called.select(*key, "gt", F.inline(F.concat(_entries("ad"), _entries("pl"))))
     # Array entries are summed one by one; what is collected is as long as one array.
     summed = entries.groupBy(*key, "gt", "kind", "i").agg(F.sum("v").alias("v"))
     arrays = summed.groupBy(*key, "gt").agg(*[
