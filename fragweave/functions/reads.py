@@ -113,35 +113,62 @@ def phred_weight(q: Column) -> Column:
     return 1 - F.pow(F.lit(10.0), -F.floor(q / 10))
 
 
-def _positions(ref: Column, start: int, negative: Column) -> Column:
-    """Indices (0-based) a methylation count walks over; the minus strand trims its right end."""
-    n = F.length(ref)
-    first = F.when(negative, F.lit(1)).otherwise(F.lit(start))
-    last = F.when(negative, n - start - 1).otherwise(n - 2)
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+def _bases(ref: Column, bases: Column, quals: Column | None) -> Column:
+    """Array with one struct per base: r, the letters after and before it, b and q.
+
+    Zipping once lets the lambdas below work on elements; looking letters up by index inside a
+    lambda would split the string again for every base.
+    """
+    r = S.letters(F.upper(ref))
+    after = F.concat(F.slice(r, F.lit(2), F.size(r)), F.array(F.lit("")))
+    before = F.slice(F.concat(F.array(F.lit("")), r), F.lit(1), F.size(r))
+    cols = [r.alias("r"), after.alias("after"), before.alias("before"), S.letters(F.upper(bases)).alias("b")]
+    return F.arrays_zip(*cols, *([quals.alias("q")] if quals is not None else []))
+
+
+def _state(x: Column, negative: Column, *, cpg: bool) -> Column:
+    """1 methylated, 0 not, null no call, for a cytosine inside (``cpg``) or outside CpG."""
+    after, before = x["after"] == "G", x["before"] == "C"
+    if not cpg:
+        # The outermost base has no neighbour to tell its context.
+        after, before = ~after & (x["after"] != ""), ~before & (x["before"] != "")
+    plus = F.when((x["r"] == "C") & after, F.when(x["b"] == "C", 1).when(x["b"] == "T", 0))
+    minus = F.when((x["r"] == "G") & before, F.when(x["b"] == "G", 1).when(x["b"] == "A", 0))
+    return F.when(negative, minus).otherwise(plus)
+
+
+def base_states(ref: Column, bases: Column, quals: Column | None, negative: Column, *, min_base_q: int = 0, cpg: bool = True) -> Column:
+    """State of every base of a read, null where there is no call. ``negative`` is the strand of the
+    molecule; on the minus strand the G is inspected."""
+
+    def call(x: Column) -> Column:
+        state = _state(x, negative, cpg=cpg)
+        return state if quals is None else F.when(x["q"] >= min_base_q, state)
+
+    return F.transform(_bases(ref, bases, quals), call)
 
 
 def cpg_calls(ref: Column, bases: Column, quals: Column | None, negative: Column, *, min_base_q: int = 0, start: int = 0,
               shift_negative: bool = True) -> Column:
     """Array of (offset, state, q) for every CpG of a read whose base calls it; state 1 = methylated.
 
-    ``negative`` is the strand of the molecule. On the minus strand the G is inspected and, with
-    ``shift_negative``, reported at the offset of its C.
+    ``start`` leaves out bases at the converted end: the first ones, or the last ones on the minus
+    strand. With ``shift_negative`` a minus strand call is reported at the offset of its C.
     """
-    r, b = S.letters(F.upper(ref)), S.letters(F.upper(bases))
-    idx = _positions(ref, start, negative)
-    q_at = (lambda i: F.get(quals, i)) if quals is not None else (lambda i: F.lit(min_base_q))
-
-    def call(i: Column) -> Column:
-        here, after, before, got = F.get(r, i), F.get(r, i + 1), F.get(r, i - 1), F.get(b, i)
-        plus = F.when((here == "C") & (after == "G"), F.when(got == "C", 1).when(got == "T", 0))
-        minus = F.when((here == "G") & (before == "C"), F.when(got == "G", 1).when(got == "A", 0))
-        state = F.when(negative, minus).otherwise(plus)
-        state = F.when(q_at(i) >= min_base_q, state)
+
+    def call(x: Column, i: Column) -> Column:
+        state = _state(x, negative, cpg=True)
+        if quals is not None:
+            state = F.when(x["q"] >= min_base_q, state)
         at = F.when(negative, i - 1).otherwise(i) if shift_negative else i
-        return F.struct(at.cast("int").alias("offset"), state.cast("int").alias("state"), q_at(i).cast("int").alias("q"))
+        q = x["q"].cast("int") if quals is not None else F.lit(min_base_q)
+        return F.struct(at.cast("int").alias("offset"), state.alias("state"), q.alias("q"), i.alias("i"))
 
-    return F.filter(F.transform(idx, call), lambda c: c["state"].isNotNull())
+    found = F.filter(F.transform(_bases(ref, bases, quals), call), lambda c: c["state"].isNotNull())
+    if start:
+        last = F.length(ref) - start
+        found = F.filter(found, lambda c: F.when(negative, c["i"] < last).otherwise(c["i"] >= start))
+    return F.transform(found, lambda c: F.struct(c["offset"].alias("offset"), c["state"].alias("state"), c["q"].alias("q")))
 
 
 def count_states(calls: Column, state: int) -> Column:
@@ -150,40 +177,31 @@ def count_states(calls: Column, state: int) -> Column:
 
 def ch_counts(ref: Column, bases: Column, quals: Column | None, negative: Column, *, min_base_q: int = 0) -> Column:
     """Struct (m, u) of cytosines outside CpG."""
-    r, b = S.letters(F.upper(ref)), S.letters(F.upper(bases))
-    idx = _positions(ref, 0, negative)
-    q_at = (lambda i: F.get(quals, i)) if quals is not None else (lambda i: F.lit(min_base_q))
-
-    def call(i: Column) -> Column:
-        here, after, before, got = F.get(r, i), F.get(r, i + 1), F.get(r, i - 1), F.get(b, i)
-        plus = F.when((here == "C") & (after != "G"), F.when(got == "C", 1).when(got == "T", 0))
-        minus = F.when((here == "G") & (before != "C"), F.when(got == "G", 1).when(got == "A", 0))
-        return F.when(q_at(i) >= min_base_q, F.when(negative, minus).otherwise(plus))
-
-    states = F.transform(idx, call)
-    return F.struct(
-        F.size(F.filter(states, lambda s: s == 1)).alias("m"), F.size(F.filter(states, lambda s: s == 0)).alias("u")
-    )
+    states = base_states(ref, bases, quals, negative, min_base_q=min_base_q, cpg=False)
+    return F.aggregate(
+        states, F.struct(F.lit(0).alias("m"), F.lit(0).alias("u")),
+        lambda a, s: F.struct((a["m"] + F.coalesce((s == 1).cast("int"), F.lit(0))).alias("m"),
+                              (a["u"] + F.coalesce((s == 0).cast("int"), F.lit(0))).alias("u")))
 
 
 def cpg_location_vector(ref: Column, negative: Column, width: int, *, start: int = 0) -> Column:
     """CpG positions around the middle of a fragment: 1 CpG, 0 other, -1 outside the fragment."""
-    r = S.letters(F.upper(ref))
-    middle = F.floor(F.length(ref) / 2).cast("int")
     n = F.length(ref)
-    first = F.when(negative, F.lit(1)).otherwise(F.lit(start))
-    last = F.when(negative, n - start - 1).otherwise(n - 2)
-    slots = F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1))
+    middle = F.floor(n / 2).cast("int")
+    last = n - start
 
-    def mark(j: Column) -> Column:
-        i = j + middle
-        plus = (F.get(r, i) == "C") & (F.get(r, i + 1) == "G")
-        minus = (F.get(r, i) == "G") & (F.get(r, i - 1) == "C")
-        inside = i.between(first, last)
-        cpg = inside & F.when(negative, minus).otherwise(plus)
-        return F.when(F.abs(j) >= middle, -1).when(F.coalesce(cpg, F.lit(False)), 1).otherwise(0)
+    def mark(x: Column, i: Column) -> Column:
+        plus = (x["r"] == "C") & (x["after"] == "G") & (i >= start)
+        minus = (x["r"] == "G") & (x["before"] == "C") & (i < last)
+        return F.when(F.when(negative, minus).otherwise(plus), 1).otherwise(0)
 
-    return F.transform(slots, mark)
+    marks = F.transform(_bases(ref, ref, None), mark)
+    half = width // 2
+    first = F.greatest(F.lit(1), middle - half)
+    left = F.greatest(F.lit(0), F.lit(half + 1) - middle)
+    count = F.least(2 * middle - first, F.lit(width) - left)
+    return F.concat(F.array_repeat(F.lit(-1), left), F.slice(marks, first + 1, F.greatest(count, F.lit(0))),
+                    F.array_repeat(F.lit(-1), F.lit(width) - left - F.greatest(count, F.lit(0))))
 
 
 def state_vector(ref: Column, bases: Column, quals: Column, negative: Column, anchor: Column, extend: int,
@@ -192,17 +210,14 @@ def state_vector(ref: Column, bases: Column, quals: Column, negative: Column, an
 
     The minus strand walks towards the start of the fragment.
     """
-    r, b = S.letters(F.upper(ref)), S.letters(F.upper(bases))
-
-    def at(step: Column) -> Column:
-        i = F.when(negative, anchor - step).otherwise(anchor + step)
-        here, got = F.get(r, i), F.get(b, i)
-        plus = F.when((here == "C") & (F.get(r, i + 1) == "G"), F.when(got == "C", 1.0).when(got == "T", 0.0))
-        minus = F.when((here == "G") & (F.get(r, i - 1) == "C"), F.when(got == "G", 1.0).when(got == "A", 0.0))
-        good = (i >= 0) & (F.get(quals, i) >= min_base_q)
-        return F.when(good, F.when(negative, minus).otherwise(plus))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(extend - 1)), at)
+    called = base_states(ref, bases, quals, negative, min_base_q=min_base_q)
+    states = F.concat(called, F.array_repeat(F.lit(None).cast("int"), F.greatest(anchor + 1 - F.length(ref), F.lit(0))))
+    ahead = F.slice(states, anchor + 1, F.lit(extend))
+    low = F.greatest(anchor - (extend - 1), F.lit(0))
+    behind = F.reverse(F.slice(states, low + 1, F.greatest(anchor - low + 1, F.lit(0))))
+    walked = F.when(negative, behind).otherwise(ahead)
+    padded = F.concat(walked, F.array_repeat(F.lit(None).cast("int"), F.lit(extend) - F.size(walked)))
+    return F.transform(padded, lambda v: v.cast("double"))
 
 
 def conversion_filter(ref: Column, bases: Column, negative: Column, *, max_ch_rate: float = 0.4, check_mismatch: bool = False,
@@ -218,12 +233,8 @@ def conversion_filter(ref: Column, bases: Column, negative: Column, *, max_ch_ra
     in_ref, in_read = S.iupac_search(rr, "CH"), S.iupac_search(bb, "CH")
     bad = F.when(in_ref > 0, in_read / in_ref >= max_ch_rate).otherwise(in_read > 0)
     if check_mismatch:
-        r, b = S.letters(rr), S.letters(bb)
-        wrong = F.filter(
-            F.sequence(F.lit(0), F.length(bases) - 1),
-            lambda i: bisulfite_mismatch(F.get(r, i), F.get(b, i), F.lit(False)),
-        )
-        bad = bad | (F.size(wrong) > max_mismatch * F.length(bases))
+        wrong = F.zip_with(S.letters(rr), S.letters(bb), lambda r, b: bisulfite_mismatch(r, b, F.lit(False)))
+        bad = bad | (F.size(F.filter(wrong, lambda w: w)) > max_mismatch * F.length(bases))
     return F.when(bad, F.lit(-1)).otherwise(F.lit(0))
 
 
@@ -346,36 +357,22 @@ def merged_fragment(start1: Column, ref1: Column, bases1: Column, quals1: Column
     """
     n1, n2 = F.length(bases1), F.length(bases2)
     shift = start2 - start1
-    overlap = F.greatest(n1 - shift, F.lit(0))
-    apart = shift > n1 - 1
-    gap = F.when(apart, shift - n1 + gap_extra).otherwise(F.lit(0))
-    b1, b2 = S.letters(bases1), S.letters(bases2)
-    r1, r2 = S.letters(ref1), S.letters(ref2)
-
-    def pick(i: Column) -> Column:
-        j = i - shift
-        q1, q2 = F.get(quals1, i), F.get(quals2, j)
-        both = (j >= 0) & (j < n2)
-        differ = F.upper(F.get(b1, i)) != F.upper(F.get(b2, j))
-        second_wins = F.when(first_is_left, q1 < q2).otherwise(q1 <= q2)
-        use2 = F.coalesce(both & differ & second_wins, F.lit(False))
-        return F.struct(
-            F.when(use2, F.get(r2, j)).otherwise(F.get(r1, i)).alias("r"),
-            F.when(use2, F.get(b2, j)).otherwise(F.get(b1, i)).alias("b"),
-            F.when(use2, q2).otherwise(q1).cast("int").alias("q"),
-        )
-
-    left = F.transform(F.sequence(F.lit(0), n1 - 1), pick)
+    gap = F.when(shift > n1 - 1, shift - n1 + gap_extra).otherwise(F.lit(0))
+
+    def mate(ref: Column, bases: Column, quals: Column) -> Column:
+        return F.arrays_zip(S.letters(ref).alias("r"), S.letters(bases).alias("b"), quals.alias("q"))
+
+    one, two = mate(ref1, bases1, quals1), mate(ref2, bases2, quals2)
+    # The right mate moved into the frame of the left one; positions it does not cover are null.
+    empty = F.lit(None).cast("struct<r:string,b:string,q:int>")
+    moved = F.concat(F.array_repeat(empty, F.least(shift, n1)), F.slice(two, F.lit(1), F.greatest(F.least(n1 - shift, n2), F.lit(0))))
+
+    def pick(x: Column, y: Column) -> Column:
+        better = F.when(first_is_left, x["q"] < y["q"]).otherwise(x["q"] <= y["q"])
+        return F.when(y.isNotNull() & (F.upper(x["b"]) != F.upper(y["b"])) & better, y).otherwise(x)
+
+    left = F.filter(F.zip_with(one, moved, pick), lambda x: x.isNotNull())
     filler = F.array_repeat(F.struct(F.lit("N").alias("r"), F.lit("N").alias("b"), F.lit(0).alias("q")), gap.cast("int"))
-    tail_from = overlap
-    tail = F.when(
-        tail_from < n2,
-        F.transform(F.sequence(tail_from, n2 - 1), lambda j: F.struct(
-            F.get(r2, j).alias("r"), F.get(b2, j).alias("b"), F.get(quals2, j).cast("int").alias("q"))),
-    ).otherwise(F.array().cast("array<struct<r:string,b:string,q:int>>"))
+    tail = F.slice(two, F.greatest(n1 - shift, F.lit(0)) + 1, n2)
     whole = F.concat(left, filler, tail)
-    return F.struct(
-        F.array_join(F.transform(whole, lambda x: x["r"]), "").alias("ref"),
-        F.array_join(F.transform(whole, lambda x: x["b"]), "").alias("bases"),
-        F.transform(whole, lambda x: x["q"]).alias("quals"),
-    )
+    return F.struct(F.array_join(whole["r"], "").alias("ref"), F.array_join(whole["b"], "").alias("bases"), whole["q"].alias("quals"))

@@ -141,16 +141,12 @@ def fragments_near_sites(fragments: DataFrame, sites: DataFrame, key: str, mates
     return skew.attach(fragments, hit, [key], "left_semi")
 
 
-def fragment_digits(fragments: DataFrame, key: list[str], ref: str, bases: str, calls: str, width: int) -> DataFrame:
+def fragment_digits(fragments: DataFrame, key: list[str], ref: str, bases: str, states: Column, width: int) -> DataFrame:
     """Base strings and methylation vector of a fragment as padded digit strings.
 
-    Methylation digits: 1 no call, 2 methylated, 3 unmethylated, 0 padding; ``calls`` is an array
-    of (offset, state).
+    Methylation digits: 1 no call, 2 methylated, 3 unmethylated, 0 padding; ``states`` has one
+    entry per base.
     """
-    n = F.length(bases)
-    digit = lambda i: F.coalesce(
-        F.get(F.transform(F.filter(calls, lambda c: c["offset"] == i), lambda c: F.when(c["state"] == 1, "2").otherwise("3")), F.lit(0)),
-        F.lit("1"))
-    vector = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), digit), "")
+    digits = F.transform(states, lambda s: F.when(s == 1, "2").when(s == 0, "3").otherwise("1"))
     return fragments.select(*key, S.base_digits(ref, width).alias("ref_digits"), S.base_digits(bases, width).alias("base_digits"),
-                            F.rpad(vector, width, "0").alias("methy_digits"))
+                            F.rpad(F.array_join(digits, ""), width, "0").alias("methy_digits"))
