@@ -89,12 +89,12 @@ ORACLE = {
   select {ROW}, round(a.v, 5) as mean_100, round(b.v, 5) as mean0_500 from matrix left join a using (chr, start_, end_) left join b using (chr, start_, end_)""",
     "track_record_mean": "with " + ctes("matrix", "regions") + f""", s as (select distinct chr, start_, end_ from matrix),
   a as (select chr, start_, end_, avg(r_value) as x from s join regions on r_chr = chr and r_hi >= greatest(start_ - 50, 1) and r_lo <= end_ + 50 group by all)
-  select {ROW}, round(a.x, 5) as v from matrix left join a using (chr, start_, end_)""",
+  select {ROW}, round(a.x + 1e-8, 5) as v from matrix left join a using (chr, start_, end_)""",
     "track_base_mean": "with " + ctes("matrix", "regions") + f""", s as (select distinct chr, start_, end_ from matrix),
   o as (select chr, start_, end_, r_value, least(r_hi, end_ + 50) - greatest(r_lo, start_ - 50, 1) + 1 as w
    from s join regions on r_chr = chr and r_hi >= greatest(start_ - 50, 1) and r_lo <= end_ + 50),
   a as (select chr, start_, end_, sum(r_value * w) / sum(w) as x, sum(r_value * w) / 101 as y from o group by all)
-  select {ROW}, round(a.x, 5) as v, round(a.y, 5) as v0 from matrix left join a using (chr, start_, end_)""",
+  select {ROW}, round(a.x + 1e-8, 5) as v, round(a.y + 1e-8, 5) as v0 from matrix left join a using (chr, start_, end_)""",
     "nearest_feature": "with " + ctes("matrix", "regions") + ", " + SPOTS + f""",
   f as (select r_chr, r_lo, r_hi, min(r_strand) as r_strand from spots group by all),
   s as (select distinct chr, start_, end_ from matrix),

@@ -87,7 +87,9 @@ ORACLE = {
    union all select 'pi', gap0, 0, 0, sum(uu + um) from x where rn = 2 group by gap0 union all select 'pi', gap0, 1, 0, sum(mu + mm) from x where rn = 2 group by gap0
    union all select 'gamma', 0, 0, 0, sum(uu + um) + sum(case when rn = len then uu + mu else 0 end) from x union all select 'gamma', 0, 1, 0, sum(mu + mm) + sum(case when rn = len then um + mm else 0 end) from x)
   select kind, cast(dist as int) as dist, i, j, round(v, 4) as value from o""",
-    "gmm_halves": None,
+    "gmm_halves": seq(2) + """, h as (select z_len as a, z_cov as b, z_dist as c, case when row_number() over (order by (z_len + z_cov + z_dist) / 3) <= count(*) over () // 2 then 0 else 1 end as half from pt),
+  g as (select half, avg(a) as ma, avg(b) as mb, avg(c) as mc, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, b) as bb, covar_samp(b, c) as bc, covar_samp(c, c) as cc from h group by half)
+  select half, unnest([0, 1, 2, 0, 0, 0, 1, 1, 1, 2, 2, 2]) as f, unnest([-1, -1, -1, 0, 1, 2, 0, 1, 2, 0, 1, 2]) as g, round(unnest([ma, mb, mc, aa, ab, ac, ab, bb, bc, ac, bc, cc]), 5) as value from g""",
     "init_observed": seq(2) + """, f as (select obs, unnest(['0', '1', '2']) as f, unnest([z_len, z_cov, z_dist]) as z from pt), a as (select obs, f, avg(z) as m, var_pop(z) as v from f group by all)
   select 'mean' as kind, cast(f as int) as r, obs as i, 0 as j, round(m, 6) as value from a union all select 'var', cast(f as int), obs, 0, round(v, 6) from a""",
     "window_levels": VEC + " select vec_id, cast(sample as int) as sample, round(level, 7) as level, case when level >= 0.1 then 1.0::double else 0.0::double end as binary from l",

@@ -51,11 +51,12 @@ ORACLE = {
   select doc_id, """ + ", ".join(f"round(coalesce(100.0::double * c.{m} / c.w, 0), 8) as {m}" for m in all_kmers(2)) + " from sequences left join c using (doc_id)",
     "kmer_freq_sparse": SEQ + """, k as (select doc_id, length(seq) - 3 as w, substr(seq, unnest(range(1, length(seq) - 2)), 4) as kmer from sequences)
   select doc_id, kmer, count(*) as n, round(100.0::double * count(*) / w, 8) as freq from k group by doc_id, kmer, w""",
-    "gc_content": SEQ + """ select doc_id, cast(length(seq) as int) as n, round(100.0::double * length(regexp_replace(seq, '[AT]', '', 'g')) / nullif(length(seq), 0), 8) as gc,
-  round(case when length(seq) > 1 then len(list_filter(range(1, length(seq)), lambda p: substr(seq, p, 2) = 'CG')) / (length(seq) - 1) end, 8) as cg_freq,
-  cast(len(list_filter(range(1, length(seq) - 1), lambda p: substr(seq, p, 3) = 'ACA')) as int) as n_aca,
-  cast(len(list_filter(range(1, length(seq)), lambda p: substr(seq, p, 1) = 'C' and substr(seq, p + 1, 1) <> 'G')) as int) as n_ch,
-  cast(len(list_filter(range(1, length(seq) - 2), lambda p: substr(seq, p, 1) in ('A', 'T') and substr(seq, p + 1, 2) = 'CG' and substr(seq, p + 3, 1) in ('A', 'T'))) as int) as n_wcgw from sequences""",
+    "gc_content": SEQ + """, l as (select doc_id, string_split(seq, '') as s, length(seq) as n from sequences)
+  select doc_id, cast(n as int) as n, round(100.0::double * len(list_filter(s, lambda x: x in ('G', 'C'))) / nullif(n, 0), 8) as gc,
+  round(case when n > 1 then len(list_filter(range(1, n), lambda p: s[p] = 'C' and s[p + 1] = 'G')) / (n - 1) end, 8) as cg_freq,
+  cast(len(list_filter(range(1, n - 1), lambda p: s[p] = 'A' and s[p + 1] = 'C' and s[p + 2] = 'A')) as int) as n_aca,
+  cast(len(list_filter(range(1, n), lambda p: s[p] = 'C' and s[p + 1] <> 'G')) as int) as n_ch,
+  cast(len(list_filter(range(1, n - 2), lambda p: s[p] in ('A', 'T') and s[p + 1] = 'C' and s[p + 2] = 'G' and s[p + 3] in ('A', 'T'))) as int) as n_wcgw from l""",
     "revcomp": SEQ + " select doc_id, translate(seq, 'ACGT', 'TGCA') as complement, " + revcomp("seq") + " as reverse_complement from sequences",
     "seq_encode": READS + """ select doc_id, cast(i as int) as i, rpad(translate(ref, 'ATCG', '1234'), 120, '0') as ref_digits, rpad(translate(bases, 'ATCG', '1234'), 120, '0') as base_digits from reads""",
     "iupac_table": f"""with c as (select translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{(IUPAC_CODES * 2)[:26]}') as s from documents),

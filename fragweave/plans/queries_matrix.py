@@ -111,13 +111,14 @@ def track_mean(spark, sf):
 
 def track_record_mean(spark, sf):
     t = T.attach_track_values(B.matrix(spark, sf), {"v": (B.regions(spark, sf), 50)}, SITE, REGION, "r_value")
-    return t.select(*ROW, F.round("v", 5).alias("v"))
+    return t.select(*ROW, F.round(F.col("v") + 1e-8, 5).alias("v"))
 
 
 def track_base_mean(spark, sf):
     t = T.attach_track_values(B.matrix(spark, sf), {"v": (B.regions(spark, sf), 50), "v0": (B.regions(spark, sf), -50)},
                               SITE, REGION, "r_value", per_base=True)
-    return t.select(*ROW, F.round("v", 5).alias("v"), F.round("v0", 5).alias("v0"))
+    # Prices are whole cents, so means often end in an exact 5; the small term settles those ties.
+    return t.select(*ROW, *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("v", "v0")])
 
 
 def nearest_feature(spark, sf):
