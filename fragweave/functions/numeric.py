@@ -80,33 +80,6 @@ def pearson_p(r: Column, n: Column) -> Column:
     return p_value(r, n)
 
 
-def percentile_of_counts(counts: Column, p: float) -> Column:
-    """Percentile at position p (n + 1) of a distribution given as a sorted array of (v, c) structs.
-
-    Below the first or beyond the last position the extreme value is taken; in between the two
-    neighbours are interpolated. The array has one entry per distinct value, so its size is
-    bounded by the value domain and not by the number of rows.
-    """
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["c"])
-    pos = F.lit(p / 100.0) * (total + 1)
-    whole = F.floor(pos)
-
-    def kth(k: Column) -> Column:
-        found = F.aggregate(
-            counts,
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("v")),
-            lambda a, x: F.struct(
-                (a["seen"] + x["c"]).alias("seen"),
-                F.when(a["v"].isNull() & (a["seen"] + x["c"] >= k), x["v"].cast("double")).otherwise(a["v"]).alias("v"),
-            ),
-        )
-        return found["v"]
-
-    low, high = kth(whole), kth(whole + 1)
-    first, last = F.element_at(counts, 1)["v"].cast("double"), F.element_at(counts, -1)["v"].cast("double")
-    return F.when(pos < 1, first).when(pos >= total, last).otherwise(low + (pos - whole) * (high - low))
-
-
 def values_at_ranks(df: DataFrame, value: str, ranks: Sequence[int], group: str | None = None,
                     group_ranks: dict | None = None) -> dict:
     """Exact order statistics without sorting or collecting the data.

@@ -113,11 +113,12 @@ def phred_weight(q: Column) -> Column:
     return 1 - F.pow(F.lit(10.0), -F.floor(q / 10))
 
 
-def _bases(ref: Column, bases: Column, quals: Column | None) -> Column:
+def base_table(ref: Column, bases: Column, quals: Column | None = None) -> Column:
     """Array with one struct per base: r, the letters after and before it, b and q.
 
     Zipping once lets the lambdas below work on elements; looking letters up by index inside a
-    lambda would split the string again for every base.
+    lambda would split the string again for every base. Select it as a column when several of the
+    ``..._of`` functions use it.
     """
     r = S.letters(F.upper(ref))
     after = F.concat(F.slice(r, F.lit(2), F.size(r)), F.array(F.lit("")))
@@ -145,30 +146,42 @@ def base_states(ref: Column, bases: Column, quals: Column | None, negative: Colu
         state = _state(x, negative, cpg=cpg)
         return state if quals is None else F.when(x["q"] >= min_base_q, state)
 
-    return F.transform(_bases(ref, bases, quals), call)
+    return F.transform(base_table(ref, bases, quals), call)
 
 
 def cpg_calls(ref: Column, bases: Column, quals: Column | None, negative: Column, *, min_base_q: int = 0, start: int = 0,
               shift_negative: bool = True) -> Column:
-    """Array of (offset, state, q) for every CpG of a read whose base calls it; state 1 = methylated.
+    """Array of (offset, state) for every CpG of a read whose base calls it; state 1 = methylated.
 
     ``start`` leaves out bases at the converted end: the first ones, or the last ones on the minus
     strand. With ``shift_negative`` a minus strand call is reported at the offset of its C.
     """
+    return cpg_calls_of(base_table(ref, bases, quals), negative, None if quals is None else min_base_q, start=start,
+                        length=F.length(ref), shift_negative=shift_negative)
 
-    def call(x: Column, i: Column) -> Column:
-        state = _state(x, negative, cpg=True)
-        if quals is not None:
-            state = F.when(x["q"] >= min_base_q, state)
-        at = F.when(negative, i - 1).otherwise(i) if shift_negative else i
-        q = x["q"].cast("int") if quals is not None else F.lit(min_base_q)
-        return F.struct(at.cast("int").alias("offset"), state.alias("state"), q.alias("q"), i.alias("i"))
 
-    found = F.filter(F.transform(_bases(ref, bases, quals), call), lambda c: c["state"].isNotNull())
+def cpg_calls_of(table: Column, negative: Column, min_base_q: int | None, *, start: int = 0, length: Column | None = None,
+                 shift_negative: bool = True) -> Column:
+    """``cpg_calls`` over a ``base_table`` column; qualities are ignored without ``min_base_q``."""
+
+    def at_cytosine(x: Column) -> Column:
+        plus = (x["x"]["r"] == "C") & (x["x"]["after"] == "G")
+        minus = (x["x"]["r"] == "G") & (x["x"]["before"] == "C")
+        keep = F.when(negative, minus).otherwise(plus)
+        return keep if min_base_q is None else keep & (x["x"]["q"] >= min_base_q)
+
+    # Few bases are cytosines of a CpG; the rest is dropped before anything is built for them.
+    found = F.filter(F.transform(table, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), at_cytosine)
     if start:
-        last = F.length(ref) - start
+        last = length - start
         found = F.filter(found, lambda c: F.when(negative, c["i"] < last).otherwise(c["i"] >= start))
-    return F.transform(found, lambda c: F.struct(c["offset"].alias("offset"), c["state"].alias("state"), c["q"].alias("q")))
+
+    def call(c: Column) -> Column:
+        at = F.when(negative, c["i"] - 1).otherwise(c["i"]) if shift_negative else c["i"]
+        q = c["x"]["q"] if min_base_q is not None else F.lit(None)
+        return F.struct(at.cast("int").alias("offset"), _state(c["x"], negative, cpg=True).alias("state"), q.cast("int").alias("q"))
+
+    return F.filter(F.transform(found, call), lambda c: c["state"].isNotNull())
 
 
 def count_states(calls: Column, state: int) -> Column:
@@ -177,11 +190,19 @@ def count_states(calls: Column, state: int) -> Column:
 
 def ch_counts(ref: Column, bases: Column, quals: Column | None, negative: Column, *, min_base_q: int = 0) -> Column:
     """Struct (m, u) of cytosines outside CpG."""
-    states = base_states(ref, bases, quals, negative, min_base_q=min_base_q, cpg=False)
-    return F.aggregate(
-        states, F.struct(F.lit(0).alias("m"), F.lit(0).alias("u")),
-        lambda a, s: F.struct((a["m"] + F.coalesce((s == 1).cast("int"), F.lit(0))).alias("m"),
-                              (a["u"] + F.coalesce((s == 0).cast("int"), F.lit(0))).alias("u")))
+    return ch_counts_of(base_table(ref, bases, quals), negative, None if quals is None else min_base_q)
+
+
+def ch_counts_of(table: Column, negative: Column, min_base_q: int | None) -> Column:
+    """``ch_counts`` over a ``base_table`` column."""
+
+    def call(x: Column) -> Column:
+        state = _state(x, negative, cpg=False)
+        return state if min_base_q is None else F.when(x["q"] >= min_base_q, state)
+
+    states = F.filter(F.transform(table, call), lambda s: s.isNotNull())
+    m = F.size(F.filter(states, lambda s: s == 1))
+    return F.struct(m.alias("m"), (F.size(states) - m).alias("u"))
 
 
 def cpg_location_vector(ref: Column, negative: Column, width: int, *, start: int = 0) -> Column:
@@ -195,7 +216,7 @@ def cpg_location_vector(ref: Column, negative: Column, width: int, *, start: int
         minus = (x["r"] == "G") & (x["before"] == "C") & (i < last)
         return F.when(F.when(negative, minus).otherwise(plus), 1).otherwise(0)
 
-    marks = F.transform(_bases(ref, ref, None), mark)
+    marks = F.transform(base_table(ref, ref), mark)
     half = width // 2
     first = F.greatest(F.lit(1), middle - half)
     left = F.greatest(F.lit(0), F.lit(half + 1) - middle)

@@ -85,7 +85,9 @@ def kmer_frequencies(seqs: DataFrame, key: list[str], seq: str, k: int, *, long:
     K-mers are counted map side, so what is shuffled is one small row per sequence and k-mer.
     With ``long`` only k-mers that occur are returned, one row each; otherwise one column per k-mer.
     """
-    data = seqs.select(*key, S.kmer_windows(seq, k).alias("_w"), F.explode_outer(S.kmers(seq, k)).alias("kmer"))
+    # The text itself must not travel with the exploded rows, so the array is made first.
+    found = seqs.select(*key, S.kmer_windows(seq, k).alias("_w"), S.kmers(seq, k).alias("_k"))
+    data = found.select(*key, "_w", F.explode_outer("_k").alias("kmer"))
     if long:
         t = data.where(F.col("kmer").isNotNull()).groupBy(*key, "kmer", "_w").agg(F.count(F.lit(1)).alias("n"))
         return t.select(*key, "kmer", "n", (100.0 * F.col("n") / F.col("_w")).alias("freq"))

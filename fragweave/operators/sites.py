@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions import reads as R
-from fragweave.functions.numeric import percentile_of_counts
 from fragweave.operators import skew
 from fragweave.operators.intervals import BIN, Span, overlap_pairs
 
@@ -124,17 +123,41 @@ def site_distribution(reads: DataFrame, site: list[str], metrics: dict[str, Colu
     ps = percentiles or DECILES
     long = reads.select(*site, F.inline(F.array(*[
         F.struct(F.lit(name).alias("metric"), col.cast("double").alias("v")) for name, col in metrics.items()])))
-    counts = long.groupBy(*site, "metric", "v").agg(F.count(F.lit(1)).alias("c"))
-    spread = counts.groupBy(*site, "metric").agg(
-        F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s1"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("s2"),
-        F.array_sort(F.collect_list(F.struct("v", "c"))).alias("hist"))
-    n = F.col("n")
-    mean = F.col("s1") / n
-    sd = F.when(n > 1, F.sqrt(F.greatest(F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / n, n - 1), F.lit(0.0))))
-    return spread.select(
-        *site, "metric", "n", mean.alias("mean"), sd.alias("sd"),
-        *[percentile_of_counts(F.col("hist"), p).alias(f"p{p}") for p in ps],
-    )
+    group = [*site, "metric"]
+    counts = long.groupBy(*group, "v").agg(F.count(F.lit(1)).alias("c"))
+    # Ranks covered by each value are (upto - c, upto]; a percentile picks the values at two ranks.
+    upto = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(*group))})
+    return ranked.groupBy(*group).agg(
+        F.first("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s1"), F.sum(F.col("v") * F.col("v") * F.col("c")).alias("s2"),
+        F.min("v").alias("lo"), F.max("v").alias("hi"), *_rank_values(ps),
+    ).select(*group, "n", (F.col("s1") / F.col("n")).alias("mean"), _deviation().alias("sd"), *_percentiles(ps))
+
+
+def _deviation() -> Column:
+    n, s1, s2 = F.col("n"), F.col("s1"), F.col("s2")
+    return F.when(n > 1, F.sqrt(F.greatest(F.try_divide(s2 - s1 * s1 / n, n - 1), F.lit(0.0))))
+
+
+def _position(p: int) -> Column:
+    return F.lit(p / 100.0) * (F.col("n") + 1)
+
+
+def _rank_values(ps: list[int]) -> list[Column]:
+    out = []
+    for p in ps:
+        for side, k in (("a", F.floor(_position(p))), ("b", F.floor(_position(p)) + 1)):
+            out.append(F.max(F.when((F.col("upto") - F.col("c") < k) & (F.col("upto") >= k), F.col("v"))).alias(f"{side}{p}"))
+    return out
+
+
+def _percentiles(ps: list[int]) -> list[Column]:
+    out = []
+    for p in ps:
+        pos = _position(p)
+        mid = F.col(f"a{p}") + (pos - F.floor(pos)) * (F.col(f"b{p}") - F.col(f"a{p}"))
+        out.append(F.when(pos < 1, F.col("lo")).when(pos >= F.col("n"), F.col("hi")).otherwise(mid).alias(f"p{p}"))
+    return out
 
 
 def site_methylation(reads: DataFrame, site: list[str], call: Column, negative: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fragweave.session import fill_cluster
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 READ_LEN = 100
 
@@ -64,7 +66,7 @@ def sizes(spark: SparkSession) -> DataFrame:
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Base sequences from document letters."""
     seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, ("ACGT" * 7)[:26])
-    return table(spark, sf, "documents").select("doc_id", seq.alias("seq"))
+    return fill_cluster(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", seq.alias("seq"))
 
 
 def aligned_reads(spark: SparkSession, sf: str) -> DataFrame:

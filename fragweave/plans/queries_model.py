@@ -11,6 +11,7 @@ from fragweave.operators import matrix as M
 from fragweave.operators import tissue as TI
 from fragweave.plans import bindings as B
 from fragweave.plans.queries_matrix import scored, sequences_of
+from fragweave.session import durable
 
 BINS = 501
 KL_MIN = 3
@@ -83,7 +84,7 @@ def expectation_step(spark, sf):
 
 def gmm_halves(spark, sf):
     """Mean and covariance of the two halves the mixture start is built from."""
-    pts = H._points(sequences_of(spark, sf, 2), H.FEATURES)
+    pts = H._points(durable(sequences_of(spark, sf, 2), "train"), H.FEATURES)
     rows = []
     for h, (mu, cov) in enumerate(H.gaussian_halves(pts, H.FEATURES)):
         rows += [(h, f, -1, round(float(mu[f]), 5)) for f in range(3)]
@@ -102,7 +103,7 @@ def init_observed(spark, sf):
 
 
 def init_gmm(spark, sf):
-    return _model_rows(spark, H.init_gmm(sequences_of(spark, sf, 2)))
+    return _model_rows(spark, H.init_gmm(durable(sequences_of(spark, sf, 2), "train")))
 
 
 def init_random(spark, sf):
@@ -111,14 +112,14 @@ def init_random(spark, sf):
 
 def em_train(spark, sf):
     """Train from the mixture start; the driver tables only have short fragments, hence the low length bound."""
-    seqs = sequences_of(spark, sf, 2)
-    t = H.train(seqs, H.init_gmm(seqs), max_iter=5, kl_min_len=KL_MIN)
+    seqs = durable(sequences_of(spark, sf, 2), "train")
+    t = H.train(seqs, H.init_gmm(seqs), max_iter=5, kl_min_len=KL_MIN, keep=False)
     return _model_rows(spark, t.model)
 
 
 def train_and_predict(spark, sf):
-    seqs = sequences_of(spark, sf, 2)
-    m = H.train(seqs, H.init_observed(seqs), max_iter=3, kl_min_len=KL_MIN).model
+    seqs = durable(sequences_of(spark, sf, 2), "train")
+    m = H.train(seqs, H.init_observed(seqs), max_iter=3, kl_min_len=KL_MIN, keep=False).model
     return H.predictions(H.decoded_points(H.decode(sequences_of(spark, sf), m)), m)
 
 

@@ -58,10 +58,9 @@ def _genome(spark, sf):
 
 def flank_sequence(spark, sf):
     """Bases around every CpG of every text, by chunk lookup; reverse complement on the minus strand."""
-    pieces = B.sequences(spark, sf).select("doc_id", F.size(F.split("seq", "CG")).alias("parts"), F.posexplode(F.split("seq", "CG")).alias("k", "piece"))
+    pieces = B.sequences(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".*?CG"), F.lit(0))).alias("k", "piece"))
     upto = Window.partitionBy("doc_id").orderBy("k")
-    sites = pieces.select("doc_id", "k", "parts", (F.sum(F.length("piece")).over(upto) + 2 * F.col("k")).alias("pos0")).where(F.col("k") < F.col("parts") - 1)
-    sites = sites.select(F.col("doc_id").alias("chr"), "pos0", (F.col("k") % 2 == 1).alias("neg"))
+    sites = pieces.select(F.col("doc_id").alias("chr"), (F.sum(F.length("piece")).over(upto) - 2).alias("pos0"), (F.col("k") % 2 == 1).alias("neg"))
     k = 5
     out = TX.genome_lookup(sites.where(F.col("pos0") >= k), _genome(spark, sf), "chr", F.col("pos0") - k, 2 * k + 1, "flank", chunk=CHUNK)
     flank = F.when(F.col("neg"), S.reverse_complement("flank")).otherwise(F.col("flank"))
@@ -114,8 +113,10 @@ def conversion_filter(spark, sf):
 def cpg_counts(spark, sf):
     t = B.aligned_reads(spark, sf)
     ref, bases, q, mol = (F.col(c) for c in ("ref", "bases", "quals", "molecule"))
-    t = t.select("doc_id", "i", R.cpg_calls(ref, bases, None, mol).alias("plain"), R.cpg_calls(ref, bases, q, mol, min_base_q=10).alias("good"),
-                 R.cpg_calls(ref, bases, q, mol, min_base_q=10, start=20).alias("inner"), R.ch_counts(ref, bases, q, mol, min_base_q=10).alias("ch"))
+    t = t.select("doc_id", "i", "molecule", F.length("ref").alias("n"), R.base_table(ref, bases, q).alias("x"))
+    x = F.col("x")
+    t = t.select("doc_id", "i", R.cpg_calls_of(x, mol, None).alias("plain"), R.cpg_calls_of(x, mol, 10).alias("good"),
+                 R.cpg_calls_of(x, mol, 10, start=20, length=F.col("n")).alias("inner"), R.ch_counts_of(x, mol, 10).alias("ch"))
     n = lambda c, s: R.count_states(F.col(c), s).cast("int")
     offs = F.array_join(F.transform("inner", lambda c: F.concat_ws(":", c["offset"].cast("string"), c["state"].cast("string"))), ",")
     return t.select("doc_id", "i", n("plain", 1).alias("m"), n("plain", 0).alias("u"), n("good", 1).alias("m_good"), n("good", 0).alias("u_good"),

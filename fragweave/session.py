@@ -46,3 +46,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/fragweave-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fill_cluster(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when a scan has fewer splits than that; otherwise do nothing.
+
+    Meant for heavy per-row work on few files. A scan of a large table has more splits than the
+    cluster has cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
