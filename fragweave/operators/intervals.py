@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fragweave.operators import skew
 
-BIN = 1024
+BIN = 256
 WIDE_BINS = 64
 BROADCAST_ROWS = 500_000
 
@@ -54,7 +54,8 @@ def _tagged_bins(lo: Column, hi: Column, size: int) -> Column:
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, lspan: Span, rspan: Span, *, bin_size: int = BIN,
-                  equal: dict[str, str] | None = None, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+                  equal: dict[str, str] | None = None, hot_rows: int = skew.HOT_ROWS,
+                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every overlapping (left, right) pair exactly once.
 
     Apart from the contig, column names of the two sides must differ. ``equal`` adds
@@ -79,11 +80,15 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lspan: Span, rspan: Span, *
     for old, new in renamed.items():
         rhs = rhs.withColumnRenamed(old, new)
     keys = [lspan.chrom, "_size", "_bin", *equal]
-    lhs, rhs = skew.spread(lhs, rhs, keys, skew.hot_keys(lhs, keys, hot_rows))
-    joined = lhs.join(rhs, [*keys, skew.SALT])
+    if skew.is_small(rhs, broadcast_rows):
+        # The left rows are not shuffled, so no bin can be too hot.
+        joined = lhs.join(F.broadcast(rhs), keys)
+    else:
+        lhs, rhs = skew.spread(lhs, rhs, keys, skew.hot_keys(lhs, keys, hot_rows))
+        joined = lhs.join(rhs.hint("merge"), [*keys, skew.SALT]).drop(skew.SALT)
     first = F.greatest(F.floor(lo / F.col("_size")), F.floor(F.col(rspan.lo) / F.col("_size")))
     return joined.where((lo <= F.col(rspan.hi)) & (F.col(rspan.lo) <= hi) & (F.col("_bin") == first)).drop(
-        "_size", "_bin", skew.SALT
+        "_size", "_bin"
     )
 
 
@@ -107,7 +112,7 @@ def _cover(regions: DataFrame, rspan: Span, bin_size: int, pad: int = 0) -> Data
 
 
 def _hit_sites(sites: DataFrame, regions: DataFrame, span: Span, rspan: Span, bin_size: int) -> DataFrame:
-    cover = _cover(regions, rspan, bin_size)
+    cover = skew.sized(_cover(regions, rspan, bin_size), BROADCAST_ROWS)
     probe = sites.withColumn("_bin", F.explode(bin_range(F.col(span.lo), F.col(span.hi), bin_size)))
     meets = (
         (probe[span.chrom] == cover["_c"]) & (probe["_bin"] == cover["_bin"])

@@ -44,6 +44,14 @@ def is_small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def sized(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast when counted to be small, else keep Spark from broadcasting on an estimate.
+
+    Estimates do not know how many rows an explode adds, hence the count.
+    """
+    return F.broadcast(df) if is_small(df, max_rows) else df.hint("merge")
+
+
 def spread(big: DataFrame, other: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Add a salt to both sides so that an equi-join on (keys, salt) equals one on keys."""
     if hot is None:
