@@ -38,7 +38,7 @@ def merge_feature_stats(stats: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _entries(col: str) -> Column:
-    return F.transform(col, lambda v, i: F.struct(F.lit(col).alias("kind"), i.alias("i"), v.cast("long").alias("v")))
+    return F.transform(col, lambda v, i: F.struct(F.lit(col).alias("_kind"), i.alias("_i"), v.cast("long").alias("_v")))
 
 
 def merge_genotypes(calls: DataFrame, variant: list[str], patient: str, library: str) -> DataFrame:
@@ -55,9 +55,9 @@ def merge_genotypes(calls: DataFrame, variant: list[str], patient: str, library:
     scalars = called.groupBy(*key, "gt").agg(F.sum("dp").cast("long").alias("dp"), F.sum("gq").cast("long").alias("gq"))
     entries = called.select(*key, "gt", F.inline(F.concat(_entries("ad"), _entries("pl"))))
     # Array entries are summed one by one; what is collected is as long as one array.
-    summed = entries.groupBy(*key, "gt", "kind", "i").agg(F.sum("v").alias("v"))
+    summed = entries.groupBy(*key, "gt", "_kind", "_i").agg(F.sum("_v").alias("_v"))
     arrays = summed.groupBy(*key, "gt").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("i", "v")))), lambda x: x["v"]).alias(k)
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.struct("_i", "_v")))), lambda x: x["_v"]).alias(k)
         for k in ("ad", "pl")])
     rank = lambda pri: F.struct(F.col("gq"), (-F.col("dp")).alias("nd"), F.lit(pri).alias("seed"), "gt", "ad", "pl", "dp")
     sums = scalars.join(arrays, [*key, "gt"], "left").select(*key, rank(0).alias("_r"))

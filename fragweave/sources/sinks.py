@@ -16,7 +16,7 @@ PREDICTION = ["chr", "start_", "end_", "methy_perc_predict", "methy_count_predic
 def fixed(c: Column | str, digits: int) -> Column:
     """Number with a fixed count of decimals, ``NaN`` where missing."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.format_string(f"%.{digits}f", col.cast("double")), F.lit("NaN"))
+    return F.when(col.isNull(), F.lit("NaN")).otherwise(F.format_string(f"%.{digits}f", col.cast("double")))
 
 
 def na(c: Column | str, digits: int = 3) -> Column:
@@ -70,5 +70,5 @@ def vcf_lines(genotypes: DataFrame, variant: list[str], patient: str) -> DataFra
     """Merged genotypes as sample fields GT:AD:DP:GQ:PL, one row per variant with a map of patients."""
     join = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
     field = F.concat_ws(":", "gt", join("ad"), F.col("dp").cast("string"), F.col("gq").cast("string"), join("pl"))
-    t = genotypes.select(*variant, F.col(patient).alias("k"), field.alias("v"))
-    return t.groupBy(*variant).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("samples"))
+    t = genotypes.select(*variant, F.col(patient).alias("_k"), field.alias("_v"))
+    return t.groupBy(*variant).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("samples"))

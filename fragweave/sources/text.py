@@ -189,7 +189,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return long.select(
         "chr", "pos", "ref", "alt", "library", get("GT").alias("gt"), ints("AD").alias("ad"), ints("PL").alias("pl"),
         F.coalesce(get("DP").try_cast("int"), F.lit(0)).alias("dp"), F.coalesce(get("GQ").try_cast("int"), F.lit(0)).alias("gq"),
-        ~F.coalesce(get("GT"), F.lit(".")).contains(".").alias("called"))
+        (~F.coalesce(get("GT"), F.lit(".")).contains(".")).alias("called"))
 
 
 def read_window_matrix(spark: SparkSession, path: str, samples: list[str]) -> DataFrame:
