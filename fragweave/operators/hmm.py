@@ -515,7 +515,7 @@ def init_gmm(seqs: DataFrame, features: list[str] = FEATURES, *, bins: int = 501
     """From two multivariate normals fitted to the halves by feature mean.
 
     Every point gets responsibilities d_j / (d_0 + d_1), without mixing weights; the tables and
-    emissions are their weighted counts and moments.
+    emissions are their weighted counts and moments. Several passes: give it a written table.
     """
     comps = comps or [1] * len(features)
     halves = gaussian_halves(_points(seqs, features), features)

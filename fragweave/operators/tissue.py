@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragweave.functions.numeric import linear_quantile
+from fragweave.session import durable
 
 MIN_DEPTH = 10
 CUT = 0.1
@@ -29,9 +30,11 @@ def window_levels(counts: DataFrame, key: list[str], sample: str, methylated: st
 def most_variable(levels: DataFrame, key: list[str], quantile: float = 0.99) -> DataFrame:
     """Windows whose deviation across samples exceeds the quantile of all window deviations.
 
-    The cut is exact and found by counting passes, not by collecting deviations.
+    The cut is exact and found by counting passes, not by collecting deviations; the deviations are
+    written once so that a pass does not repeat the aggregation.
     """
     sd = levels.groupBy(*key).agg(F.stddev_samp("level").alias("sd"), F.count("level").alias("n_level"), F.count(F.lit(1)).alias("n_sample"))
+    sd = durable(sd, "deviations")
     cut = linear_quantile(sd, "sd", quantile)
     return sd.where(F.col("sd") > cut)
 
