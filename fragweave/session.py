@@ -19,7 +19,10 @@ def local_session(name: str = "fragweave", cpus: str | int = "*") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
+        # Local files are small: let them split below the default cost of opening one.
+        .config("spark.sql.files.openCostInBytes", str(512 << 10))
+        .config("spark.sql.files.minPartitionNum", str(2 * n))
+        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -49,10 +52,10 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 
 def fill_cluster(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when a scan has fewer splits than that; otherwise do nothing.
+    """Spread rows over all cores when a scan has few splits per core; otherwise do nothing.
 
-    Meant for heavy per-row work on few files. A scan of a large table has more splits than the
-    cluster has cores and is left alone.
+    Meant for heavy per-row work on few files, where splits can even be empty because a file has
+    fewer row groups than splits. A scan of a large table has many splits per core and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 4 * cores else df
