@@ -142,20 +142,22 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
 def genome_lookup(rows: DataFrame, genome: DataFrame, chrom: str, start0, length: int, name: str, *, chunk: int = 1 << 16) -> DataFrame:
     """Add ``length`` bases from 0-based ``start0`` on; bases outside the contig are missing from the string.
 
-    The rows meet one or two chunks by an equi-join; the pieces are put together per row.
+    Every chunk is first lengthened by the head of the next one (a join of two unique keys), so that
+    each row meets exactly one chunk.
     """
     from fragweave.operators import skew
 
+    if length > chunk:
+        raise ValueError(f"look-ups of {length} bases need chunks at least as long, not {chunk}")
+    heads = genome.select("chr", (F.col("chunk_start") - chunk).alias("chunk_start"), F.substring("bases", 1, length - 1).alias("_head"))
+    long = genome.join(heads, ["chr", "chunk_start"], "left")
+    long = long.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c0"), F.concat("bases", F.coalesce("_head", F.lit(""))).alias("_b"))
     s = start0.cast("long")
-    keyed = rows.withColumns({"_s": s, "_c0": F.floor(s / chunk) * chunk})
-    two = keyed.withColumn("_c1", F.when(F.floor((F.col("_s") + length - 1) / chunk) * chunk != F.col("_c0"), F.col("_c0") + chunk))
-    g0 = genome.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c0"), F.col("bases").alias("_b0"))
-    g1 = genome.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c1"), F.col("bases").alias("_b1"))
-    out = skew.attach(skew.attach(two, g0, [chrom, "_c0"], "left"), g1, [chrom, "_c1"], "left")
-    lead = F.greatest(F.col("_s") - F.col("_c0"), F.lit(0))
-    both = F.concat(F.substring(F.coalesce("_b0", F.lit("")), (lead + 1).cast("int"), F.lit(length)),
-                    F.substring(F.coalesce("_b1", F.lit("")), F.lit(1), F.lit(length)))
-    return out.withColumn(name, F.substring(both, F.lit(1), F.lit(length))).drop("_s", "_c0", "_c1", "_b0", "_b1")
+    inside = F.greatest(s, F.lit(0).cast("long"))
+    keyed = rows.withColumns({"_s": inside, "_n": (F.lit(length) - (inside - s)).cast("int"), "_c0": F.floor(inside / chunk) * chunk})
+    out = skew.attach(keyed, long, [chrom, "_c0"], "left")
+    piece = F.substring("_b", (F.col("_s") - F.col("_c0") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0)))
+    return out.withColumn(name, F.coalesce(piece, F.lit(""))).drop("_s", "_n", "_c0", "_b")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

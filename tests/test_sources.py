@@ -62,10 +62,12 @@ def test_fasta_and_lookup(spark, tmp_path):
         assert r["chunk_start"] == len(got.get(r["chr"], ""))
         got[r["chr"]] = got.get(r["chr"], "") + r["bases"]
     assert got == {c: s.upper() for c, s in seqs.items()}
-    at = [("c1", 0), ("c1", 60), ("c1", 63), ("c1", 995), ("c2", 30), ("c1", 128)]
+    at = [("c1", 0), ("c1", 60), ("c1", 63), ("c1", 995), ("c2", 30), ("c1", 128), ("c1", -4), ("c2", 500)]
     rows = spark.createDataFrame(at, "chr string, p long")
     found = {(r["chr"], r["p"]): r["s"] for r in X.genome_lookup(rows, g, "chr", F.col("p"), 11, "s", chunk=64).collect()}
-    assert found == {(c, p): seqs[c].upper()[p:p + 11] for c, p in at}
+    assert found == {(c, p): seqs[c].upper()[max(p, 0):p + 11] for c, p in at}
+    with pytest.raises(ValueError):
+        X.genome_lookup(rows, g, "chr", F.col("p"), 65, "s", chunk=64)
 
 
 def test_sam(spark, tmp_path):
