@@ -8,13 +8,11 @@ over Arrow batches, all fragments of a batch in step.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

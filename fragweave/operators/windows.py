@@ -91,7 +91,7 @@ def correlation_with_coverage(rows: DataFrame, sizes: DataFrame, span: Span, fra
     return t.select(name.alias("name"), "cor", pearson_p(F.col("cor"), F.col("n")).alias("pvalue"), "n")
 
 
-def _moments(t, value: Column, prefix: str) -> list[Column]:
+def _moments(value: Column, prefix: str) -> list[Column]:
     return [F.avg(value).alias(f"{prefix}_mean"), F.coalesce(F.stddev_samp(value), F.when(F.count(value) > 0, F.lit(0.0))).alias(f"{prefix}_sd")]
 
 
@@ -104,7 +104,7 @@ def fragment_length_stats(windows: DataFrame, frags: DataFrame, wspan: Span, fsp
     pairs = overlap_pairs(frags, windows, fspan, wspan)
     key = [fspan.chrom, wspan.lo, wspan.hi]
     once = pairs.groupBy(*key, name).agg(F.min(F.abs(frag_len)).alias("_len"))
-    t = once.groupBy(*key).agg(F.count(F.lit(1)).alias("num_frag"), *_moments(None, F.col("_len"), "len"),
+    t = once.groupBy(*key).agg(F.count(F.lit(1)).alias("num_frag"), *_moments(F.col("_len"), "len"),
                                F.percentile("_len", F.lit(0.5)).alias("len_median"))
     t = t.withColumnRenamed(fspan.chrom, wspan.chrom) if fspan.chrom != wspan.chrom else t
     out = windows.select(*wspan).join(t, list(wspan), "left")
@@ -121,9 +121,8 @@ def value_stats(windows: DataFrame, track: DataFrame, wspan: Span, tspan: Span,
     """
     pairs = overlap_pairs(track.where(F.col(value).isNotNull()), windows, tspan, wspan)
     key = [tspan.chrom, wspan.lo, wspan.hi]
-    win = F.struct(*key)
     data = pairs.select(*key, F.col(value).cast("double").alias("_v"))
-    t = data.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_moments(None, F.col("_v"), "value"))
+    t = data.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_moments(F.col("_v"), "value"))
     big = t.where(F.col("n") > hot_rows).select(*key, "n").orderBy(F.desc("n")).limit(skew.HOT_LIMIT).collect()
     cold = data
     if big:

@@ -32,7 +32,6 @@ call as (select *, case when molecule then case when r = 'G' and r0 = 'C' then c
    else case when r = 'C' and r1 = 'G' then case b when 'C' then 1 when 'T' then 0 end end end as cg,
   case when molecule then case when r = 'G' and r0 <> 'C' and p > 1 then case b when 'G' then 1 when 'A' then 0 end end
    else case when r = 'C' and r1 <> 'G' and p < n then case b when 'C' then 1 when 'T' then 0 end end end as ch from let)"""
-GROUP = "(select variant, patient, gt, cast(sum(dp) as bigint) as dp, cast(sum(gq) as bigint) as gq, "
 # Merged mates position by position; 0-based offset ``o`` in the merged string.
 MERGED = """, ov as (select *, length(ref1) as n1, length(ref2) as n2 from mates),
 lf as (select doc_id, i, k, o, o - start2 as j, n1, n2, start2, first_is_left, ref1, ref2, bases1, bases2 from (select *, unnest(range(0, n1)) as o from ov)),

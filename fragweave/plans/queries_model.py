@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragweave.operators import hmm as H
-from fragweave.operators import matrix as M
 from fragweave.operators import tissue as TI
 from fragweave.plans import bindings as B
 from fragweave.plans.queries_matrix import scored, sequences_of
