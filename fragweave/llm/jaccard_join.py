@@ -30,6 +30,8 @@ BIN_BITS = 18
 #: Sizes that may count as small; above, the subsets outnumber any list.
 SMALL_LIMIT = 32
 SEEN_BITS = 23
+#: Bits of the parity signature that bounds how much two sets differ.
+SIGN_BITS = 11
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -99,7 +101,10 @@ def profile(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int], float]
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray, limit: int, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys): first shingles of large sets, subset hashes of small ones."""
+    """(doc_id, n_shingles, digest, sign, keys): first shingles of large sets, subset hashes of small ones.
+
+    ``sign`` holds, for every bin, whether an odd number of the set's shingles falls into it.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # 2**BIN_BITS bits
     # small sets that can be similar to a large one also stand in the lists
     listed_from = -(-percent * (limit + 1) // 100)
@@ -132,18 +137,21 @@ def keyed(docs: DataFrame, frequent: np.ndarray, limit: int, k: int, percent: in
                 hot = often[_bins(flat)]
                 sums = [np.concatenate((mix(flat ^ np.uint64(c)), np.zeros(1, np.uint64))) for c in (11, 12)]
                 sums = np.stack([np.add.reduceat(x, start[:-1]) for x in sums], 1)
-                digest, keys, ends = [], [], [0]
+                place = (flat & np.uint64((1 << SIGN_BITS) - 1)).astype(np.int64)
+                digest, sign, keys, ends = [], [], [], [0]
                 for i, s in enumerate(got):
+                    odd = np.bincount(place[start[i]:start[i + 1]], minlength=1 << SIGN_BITS) & 1
+                    sign.append(np.packbits(odd.astype(bool)).tobytes())
                     own = keys_of(s, hot[start[i]:start[i + 1]]) if len(s) else []
                     digest.append(sums[i].tobytes() if len(s) else b"")
                     keys += own
                     ends.append(ends[-1] + sum(map(len, own)))
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(digest, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "keys"])
+                    [part.column(0), pa.array(size), pa.array(digest, pa.binary()), pa.array(sign, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "sign", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sign binary, keys array<bigint>")
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
@@ -178,6 +186,22 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return source.mapInArrow(run, "id bigint, set array<bigint>").join(ids.select("id").hint("merge"), "id", "left_semi")
 
 
+def plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets may be similar by their signatures, which differ in no more bins than the sets in shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
+                na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                need = -(-percent * (na + nb) // (100 + percent))
+                batch = batch.filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= na + nb - 2 * need))
+            yield batch.select(["a", "b"])
+
+    side = lambda c: signs.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return written(both.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a bigint, b bigint").distinct(), "plausible")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, compared exactly."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -202,6 +226,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-classes")
     # one row per class: the document that stands for it
     own = sets.select("doc_id", "digest", "n_shingles", "keys").join(classes.hint("merge"), [sets["doc_id"] == classes["rep"], sets["digest"] == classes["digest"]]).select("rep", "n_shingles", "keys")
+    signs = sets.select("doc_id", "digest", "n_shingles", "sign").join(classes.hint("merge"), [sets["doc_id"] == classes["rep"], sets["digest"] == classes["digest"]]).select("rep", "n_shingles", "sign")
     entries = own.select("rep", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("pos", "key"))
     # subset hashes stand behind the first shingles and have no place in the global order
     in_order = F.expr(f"n >= {-(-percent * (limit + 1) // 100)} and pos <= n - ceil({percent} * n / 100)")
@@ -219,7 +244,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     pivots = members.groupBy("key").agg(F.min(F.struct("pos", "rep", "n")).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"{c}_p") for c in ("pos", "rep", "n")))
     first = members.join(pivots.hint("merge"), "key").where((F.col("rep") != F.col("rep_p")) & possible("", "_p"))
     first = written(first.select(F.least("rep", "rep_p").alias("a"), F.greatest("rep", "rep_p").alias("b")).distinct(), "pairs")
-    links = verified(docs, first, k, percent)
+    links = verified(docs, plausible(first, signs, percent), k, percent)
     labels = components(links)
     # what is left: members of one list that are in different components
     at = members.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("label", "rep").alias("label"))
@@ -229,7 +254,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     cross = x.join(y.hint("merge"), "key").where((F.col("label_x") < F.col("label_y")) & possible("_x", "_y"))
     cross = cross.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     cross = written(cross.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    more = verified(docs, cross, k, percent)
+    more = verified(docs, plausible(cross, signs, percent), k, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     # class -> component, then every document of the class
