@@ -4,12 +4,13 @@ A line of ``min_chars`` or more is dropped when a line within ``edits`` edits st
 order of doc_id and line number; of equal lines the first stays. Lines are cut into edits + 1 segments,
 one of which a similar line must hold unchanged, at a place that the lengths and the segment's number
 narrow to a few. Segments of each length form the index; the few substrings of other lines probe it.
-What meets is verified with a banded bit-parallel edit distance. All of it is column expressions.
+What meets is sifted by letter counts, which an edit changes little, and verified with a banded bit-parallel edit distance. All of it is column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from fragweave.llm.common import look_up, written
 
 MIN_CHARS, EDITS = 20, 2
 NO_ID = (1 << 63) - 1
+#: Frequent letters, counted to tell apart lines that share a segment.
+LETTERS = "eainstrolduh"
 #: Buckets of the fixed-size filters that are broadcast: at most so many rows.
 BUCKETS = 1 << 20
 
@@ -101,52 +104,69 @@ def probe_keys(line: Column, edits: int, min_chars: int) -> Column:
             start, size = _segment(length, i, edits)
             for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 out.append(F.when(length >= min_chars, _key(line, length, i, start + shift, size)))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+    return F.array(*out)
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS occurs, modulo 32, five bits a letter in one long."""
+    count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS)
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(n.bitwiseAND(31).cast("bigint"), 5 * i) for i, n in enumerate(count)))
+
+
+def may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether letter counts leave it open that lines are within ``edits``: an edit changes at most two counts by one."""
+    def apart(i: int) -> Column:
+        d = (F.shiftright(a, 5 * i) - F.shiftright(b, 5 * i)).bitwiseAND(31)
+        return F.least(d, 32 - d)
+
+    return reduce(lambda x, y: x + y, map(apart, range(len(LETTERS)))) <= 2 * edits
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, at, line) of the lines that take part."""
+    """(id, at, line, h1, h2) of the lines that take part; h1 and h2 are 128 bits of digest."""
     lines = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    return lines.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _code(at: Column, line: Column) -> Column:
+def _code(at: Column, h1: Column) -> Column:
     """Number and content of a line in one long."""
-    return F.shiftleft(at.cast("bigint"), 32).bitwiseOR(F.xxhash64(line).bitwiseAND((1 << 32) - 1))
+    return F.shiftleft(at.cast("bigint"), 32).bitwiseOR(h1.bitwiseAND((1 << 32) - 1))
 
 
-def _bucket(*of: str) -> Column:
-    return F.pmod(F.xxhash64(*of), F.lit(BUCKETS)).alias("_bucket")
+def _bucket(of: Column) -> Column:
+    return F.pmod(of, F.lit(BUCKETS)).alias("_bucket")
 
 
 def duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """(id, code) of every line to drop."""
-    lines = lines_of(docs, min_chars).withColumn("digest", F.unhex(F.md5("line")))
-    seen = written(lines.select("digest", "id", "at", _code(F.col("at"), F.col("line")).alias("code")), "lines")
-    firsts = written(seen.groupBy("digest").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("times")), "first-lines")
-    again = firsts.where("times > 1")
-    exact = look_up(seen, again, "digest", "times", seen.count()).where(F.struct("id", "at") != F.col("first")).select("id", "code")
+    lines = lines_of(docs, min_chars)
+    seen = written(lines.select("h1", "h2", "id", "at"), "lines")
+    firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("times"))
+    again = written(firsts.where("times > 1").select(F.struct("h1", "h2").alias("digest"), "first", "times"), "repeated-lines")
+    exact = look_up(seen.select(F.struct("h1", "h2").alias("digest"), "id", "at"), again, "digest", "times", seen.count()).where(
+        F.struct("id", "at") != F.col("first")).select("id", _code(F.col("at"), F.col("digest.h1")).alias("code"))
 
     # every different line once, where it stands first; most occur once, and a fixed-size filter tells them apart
-    repeated = F.broadcast(again.select(_bucket("digest")).distinct())  # at most BUCKETS rows
-    marked = lines.withColumn("_bucket", _bucket("digest"))
-    place = firsts.select("digest", F.col("first.id").alias("id"), F.col("first.at").alias("at"))
-    distinct = marked.join(repeated, "_bucket", "left_anti").select("id", "at", "line").unionByName(
-        marked.join(repeated, "_bucket", "left_semi").join(place.hint("merge"), ["digest", "id", "at"], "left_semi")
-        .select("id", "at", "line"))
-    index = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("id_x"), F.col("at").alias("at_x"))
-    probe = distinct.select(F.explode(probe_keys(F.col("line"), edits, min_chars)).alias("key"), F.col("id").alias("id_y"), F.col("at").alias("at_y"))
-    met = index.join(probe.hint("merge"), "key").where("id_x <> id_y or at_x <> at_y")
+    repeated = F.broadcast(again.select(_bucket(F.col("digest.h1"))).distinct())  # at most BUCKETS rows
+    marked = lines.withColumn("_bucket", _bucket(F.col("h1")))
+    place = again.select("digest.*", "first.*")
+    columns = ("id", "at", "h1", "line", letter_counts(F.col("line")).alias("letters"))
+    distinct = marked.join(repeated, "_bucket", "left_anti").select(*columns).unionByName(
+        marked.join(repeated, "_bucket", "left_semi").join(place.hint("merge"), ["h1", "h2", "id", "at"], "left_semi").select(*columns))
+    distinct = written(distinct, "distinct-lines")
+    index = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("id_x"), F.col("at").alias("at_x"), F.col("letters").alias("letters_x"))
+    probe = distinct.select(F.explode(probe_keys(F.col("line"), edits, min_chars)).alias("key"), F.col("id").alias("id_y"), F.col("at").alias("at_y"), F.col("letters").alias("letters_y"))
+    met = index.join(probe.where("key is not null").hint("merge"), "key").where("id_x <> id_y or at_x <> at_y").where(may_be_near(F.col("letters_x"), F.col("letters_y"), edits))
     x, y = F.struct(F.col("id_x").alias("id"), F.col("at_x").alias("at")), F.struct(F.col("id_y").alias("id"), F.col("at_y").alias("at"))
     pairs = written(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select("a.*", F.col("b.id").alias("id_b"), F.col("b.at").alias("at_b")).distinct(), "line-pairs")
 
     refs = pairs.select("id", "at").unionByName(pairs.select(F.col("id_b").alias("id"), F.col("at_b").alias("at"))).distinct()
-    near_docs = F.broadcast(refs.select(_bucket("id")).distinct())  # at most BUCKETS rows
-    wanted = lines_of(docs, min_chars).withColumn("_bucket", _bucket("id")).join(near_docs, "_bucket", "left_semi").join(refs.hint("merge"), ["id", "at"], "left_semi").select("id", "at", "line")
+    near_docs = F.broadcast(refs.select(_bucket(F.xxhash64("id"))).distinct())  # at most BUCKETS rows
+    wanted = distinct.withColumn("_bucket", _bucket(F.xxhash64("id"))).join(near_docs, "_bucket", "left_semi").join(refs.hint("merge"), ["id", "at"], "left_semi").select("id", "at", "h1", "line")
     wanted = written(wanted, "pair-lines")
-    b = wanted.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
-    both = pairs.join(wanted.hint("merge"), ["id", "at"]).join(b.hint("merge"), ["id_b", "at_b"])
-    near = both.where(within(F.col("line"), F.col("line_b"), edits)).select(F.col("id_b").alias("id"), _code(F.col("at_b"), F.col("line_b")).alias("code"))
+    b = wanted.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("h1").alias("h1_b"), F.col("line").alias("line_b"))
+    both = pairs.join(wanted.drop("h1").hint("merge"), ["id", "at"]).join(b.hint("merge"), ["id_b", "at_b"])
+    near = both.where(within(F.col("line"), F.col("line_b"), edits)).select(F.col("id_b").alias("id"), _code(F.col("at_b"), F.col("h1_b")).alias("code"))
     return exact.unionByName(near).distinct()
 
 
@@ -158,13 +178,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     a doc_id and a text are one document and get the same result.
     """
     drops = written(duplicates(docs, min_chars, edits), "line-drops").groupBy("id").agg(F.collect_list("code").alias("_drops")).withColumnRenamed("id", "_id")
-    drops = drops.withColumn("_bucket", _bucket("_id"))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_bucket", _bucket("_id"))
+    drops = drops.withColumn("_bucket", _bucket(F.xxhash64("_id")))
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_bucket", _bucket(F.xxhash64("_id")))
     some = F.broadcast(drops.select("_bucket").distinct())  # at most BUCKETS rows
     whole = own.join(some, "_bucket", "left_anti").withColumn("_drops", F.lit(None).cast("array<bigint>"))
     cut = own.join(some, "_bucket", "left_semi").join(drops.drop("_bucket").hint("merge"), "_id", "left")
     lines = F.split("text", "\n")
-    codes = F.array_except(F.transform(lines, lambda x, i: _code(i, x)), F.col("_drops"))
+    codes = F.array_except(F.transform(lines, lambda x, i: _code(i, F.xxhash64(x))), F.col("_drops"))
     left = _let(lines, lambda all_: F.array_join(F.transform(codes, lambda c: F.get(all_, F.shiftright(c, 32).cast("int"))), "\n"))
     out = whole.unionByName(cut).withColumn("_n", F.coalesce(F.size(lines), F.lit(0))).withColumn("_left", F.when(F.col("_drops").isNull(), F.col("_n")).otherwise(F.size(codes)))
     out = out.withColumn("text", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(left))
