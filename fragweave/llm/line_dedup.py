@@ -96,7 +96,7 @@ def index_keys(line: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, edits: int, min_chars: int) -> Column:
-    """Substrings that could be a segment of an equal or up to ``edits`` shorter line."""
+    """Substrings that could be a segment of an equally long or up to ``edits`` shorter line, equally long ones first."""
     n, out = F.length(line), []
     for gap in range(edits + 1):
         length = n - gap
@@ -107,6 +107,11 @@ def probe_keys(line: Column, edits: int, min_chars: int) -> Column:
     return F.array(*out)
 
 
+def same_length_probes(edits: int) -> int:
+    """How many of ``probe_keys`` look for equally long lines."""
+    return sum(2 * min(i, edits - i) + 1 for i in range(edits + 1))
+
+
 def letter_counts(line: Column) -> Column:
     """How often each of LETTERS occurs, modulo 32, five bits a letter in one long."""
     count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c))) for c in LETTERS)
@@ -155,9 +160,11 @@ def duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
         marked.join(repeated, "_bucket", "left_semi").join(place.hint("merge"), ["h1", "h2", "id", "at"], "left_semi").select(*columns))
     distinct = written(distinct, "distinct-lines")
     index = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("id_x"), F.col("at").alias("at_x"), F.col("letters").alias("letters_x"))
-    probe = distinct.select(F.explode(probe_keys(F.col("line"), edits, min_chars)).alias("key"), F.col("id").alias("id_y"), F.col("at").alias("at_y"), F.col("letters").alias("letters_y"))
-    met = index.join(probe.where("key is not null").hint("merge"), "key").where("id_x <> id_y or at_x <> at_y").where(may_be_near(F.col("letters_x"), F.col("letters_y"), edits))
+    probe = distinct.select(F.posexplode(probe_keys(F.col("line"), edits, min_chars)).alias("nth", "key"), F.col("id").alias("id_y"), F.col("at").alias("at_y"), F.col("letters").alias("letters_y"))
     x, y = F.struct(F.col("id_x").alias("id"), F.col("at_x").alias("at")), F.struct(F.col("id_y").alias("id"), F.col("at_y").alias("at"))
+    # equally long lines probe each other: one of the two meetings is enough, and none with the line itself
+    once = (F.col("nth") >= same_length_probes(edits)) | (x < y)
+    met = index.join(probe.where("key is not null").hint("merge"), "key").where(once).where(may_be_near(F.col("letters_x"), F.col("letters_y"), edits))
     pairs = written(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select("a.*", F.col("b.id").alias("id_b"), F.col("b.at").alias("at_b")).distinct(), "line-pairs")
 
     refs = pairs.select("id", "at").unionByName(pairs.select(F.col("id_b").alias("id"), F.col("at_b").alias("at"))).distinct()
