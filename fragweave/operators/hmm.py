@@ -378,7 +378,7 @@ def train(seqs: DataFrame, init: Model, features: list[str] = FEATURES, *, max_i
     model, previous = init, None
     distances: list[float] = []
     likes: list[float] = []
-    before = 0.01
+    before: float | None = None
     for k in range(max_iter + 1):
         stats = e_step(data, model, features, previous, kl_min_len)
         if stats["misc"][2] == 0:
@@ -389,7 +389,7 @@ def train(seqs: DataFrame, init: Model, features: list[str] = FEATURES, *, max_i
                 raise ValueError(f"no fragment has {kl_min_len} points, so model distances are undefined")
             d = float(stats["misc"][0] / stats["misc"][1])
             distances.append(d)
-            rel = abs((abs(d) - abs(before)) / before) if before else math.inf
+            rel = abs((abs(d) - abs(before)) / before) if before else math.inf  # the first distance has none to be compared with
             before = d
             if rel < decay or abs(d) < tol:
                 break
