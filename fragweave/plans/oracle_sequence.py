@@ -65,7 +65,7 @@ ORACLE = {
   cast(case when a in ('A', 'C', 'G', 'T') then instr('ACGT', a) - 1 else -1 end as int) as base_index, translate(a, '{IUPAC_CODES}', '{IUPAC_COMPLEMENTS}') as complement from m""",
     "flank_sequence": SEQ + f""", p as (select doc_id, seq, unnest(list_filter(range(1, length(seq)), lambda p: substr(seq, p, 2) = 'CG')) as p from sequences),
   q as (select *, row_number() over (partition by doc_id order by p) - 1 as k from p)
-  select doc_id as chr, p - 1 as pos0, k % 2 = 1 as neg, case when k % 2 = 1 then {revcomp('substr(seq, p - 5, 11)')} else substr(seq, p - 5, 11) end as flank from q where p - 1 >= 5""",
+  select doc_id as chr, p - 1 as pos0, k % 2 = 1 as neg, case when k % 2 = 1 then {revcomp('substr(seq, greatest(p - 5, 1), 11 + least(p - 6, 0))')} else substr(seq, greatest(p - 5, 1), 11 + least(p - 6, 0)) end as flank from q""",
     "methyl_call": ALN + """, m as (select *, ((flag & 16) <> 0) <> ((flag & 128) <> 0) as molecule from alignments)
   select read_name, line, partkey, ref, base, molecule, case when molecule then case when ref = 'G' and base = 'G' then 'm' when ref = 'G' and base = 'A' then 'u' end
    else case when ref = 'C' and base = 'C' then 'm' when ref = 'C' and base = 'T' then 'u' end end as state,

@@ -57,12 +57,12 @@ def _genome(spark, sf):
 
 
 def flank_sequence(spark, sf):
-    """Bases around every CpG of every text, by chunk lookup; reverse complement on the minus strand."""
+    """Bases around every CpG of every text, fewer at its ends, by chunk lookup; reverse complement on the minus strand."""
     pieces = B.sequences(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".*?CG"), F.lit(0))).alias("k", "piece"))
     upto = Window.partitionBy("doc_id").orderBy("k")
     sites = pieces.select(F.col("doc_id").alias("chr"), (F.sum(F.length("piece")).over(upto) - 2).alias("pos0"), (F.col("k") % 2 == 1).alias("neg"))
     k = 5
-    out = TX.genome_lookup(sites.where(F.col("pos0") >= k), _genome(spark, sf), "chr", F.col("pos0") - k, 2 * k + 1, "flank", chunk=CHUNK)
+    out = TX.genome_lookup(sites, _genome(spark, sf), "chr", F.col("pos0") - k, 2 * k + 1, "flank", chunk=CHUNK)
     flank = F.when(F.col("neg"), S.reverse_complement("flank")).otherwise(F.col("flank"))
     return out.select("chr", F.col("pos0").cast("long").alias("pos0"), "neg", flank.alias("flank"))
 
