@@ -104,7 +104,8 @@ def fragments(points: DataFrame, features: list[str], *, max_cpg_dist: int = 500
     gaps, in bins of ``bin_bp``), ``prior``, one array per feature, ``obs``, ``locus``. A fragment is
     rejected when its first offset or a gap exceeds ``max_cpg_dist`` or when it has too few or too
     many points. No valid fragment reaches past ``max_points * max_cpg_dist``, so points beyond
-    that are not collected and an array never outgrows a constant.
+    that are not collected and an array never outgrows a constant; ``n`` and, with ``keep_rejected``,
+    ``last_offset`` are those of all points.
     """
     reach = max_points * max_cpg_dist
     point = F.struct(
@@ -113,7 +114,7 @@ def fragments(points: DataFrame, features: list[str], *, max_cpg_dist: int = 500
         F.struct("chr", "start_", "end_").alias("locus"),
     )
     seqs = points.groupBy("read_name").agg(
-        F.max("offset_").alias("_far"), F.collect_list(F.when(F.col("offset_") <= reach, point)).alias("_pts")
+        F.max("offset_").alias("_far"), F.count("offset_").cast("int").alias("_n"), F.collect_list(F.when(F.col("offset_") <= reach, point)).alias("_pts")
     )
     seqs = seqs.withColumn("_pts", F.array_sort("_pts"))
     pts = F.col("_pts")
@@ -122,7 +123,7 @@ def fragments(points: DataFrame, features: list[str], *, max_cpg_dist: int = 500
         "dist", F.transform("_gaps", lambda g: F.floor(g / bin_bp).cast("int"))
     )
     bad_gap = (F.get("_gaps", F.lit(0)) > max_cpg_dist) | F.exists("dist", lambda d: d * bin_bp > max_cpg_dist)
-    size = F.size("_pts")
+    size = F.col("_n")
     good = (F.col("_far") <= reach) & ~bad_gap & size.between(min_points, max_points)
     if keep_rejected:
         seqs = seqs.withColumn("accepted", F.coalesce(good, F.lit(False)))
@@ -130,7 +131,7 @@ def fragments(points: DataFrame, features: list[str], *, max_cpg_dist: int = 500
         seqs = seqs.where(good)
     cols = ["read_name", size.alias("n"), "dist"]
     cols += [F.col(f"_pts.{name}").alias(name) for name in ("offset", "prior", *features, "obs", "locus")]
-    return seqs.select(*cols, *(["accepted"] if keep_rejected else []))
+    return seqs.select(*cols, *([F.col("_far").alias("last_offset"), "accepted"] if keep_rejected else []))
 
 
 def transitions(seqs: DataFrame) -> DataFrame:

@@ -3,20 +3,22 @@
 A key may hold a third of all rows. Aggregations are safe because Spark combines before it
 shuffles; joins are not, so they spread the rows of hot keys over several salts and copy the
 matching rows of the other side once per salt. Keys are called hot by counting, never by
-sampling, and the list of hot keys is bounded by ``HOT_LIMIT``: any key outside the list holds
-at most 1 / HOT_LIMIT of the rows.
+sampling, and get as many salts as their rows need. The list holds the ``HOT_LIMIT`` largest, so any
+key outside it holds less than 1 / HOT_LIMIT of the rows: no more than one of so many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 HOT_ROWS = 2_000_000
 HOT_LIMIT = 10_000
-MAX_FAN = 256
+BROADCAST_BYTES = 256 << 20
 SALT = "_salt"
 _FAN = "_fan"
 _COUNT = object()
@@ -31,7 +33,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, wei
         .where(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"))
         .limit(HOT_LIMIT)
-        .select(*keys, F.least(F.ceil(F.col("_n") / hot_rows) + 1, F.lit(MAX_FAN)).cast("int").alias(_FAN))
+        .select(*keys, (F.ceil(F.col("_n") / hot_rows) + 1).cast("int").alias(_FAN))
     )
     found = counted.collect()  # at most HOT_LIMIT small rows
     if not found:
@@ -39,9 +41,17 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, wei
     return rows.sparkSession.createDataFrame(found, counted.schema)
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than needed to tell."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(df: DataFrame) -> Column:
+    """Size of a row: texts and nested values by their length, other values by 8 bytes."""
+    fixed = (NumericType, DateType, TimestampType, BooleanType)
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    return reduce(lambda a, b: a + b, wide, F.lit(8 * len(df.columns))).cast("bigint")
+
+
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, by an aggregation that combines in every task."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def sized(df: DataFrame, max_rows: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragweave.session import fill_cluster
@@ -63,9 +63,15 @@ def sizes(spark: SparkSession) -> DataFrame:
     return spark.range(1, 23).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chr"), F.lit(20101).cast("long").alias("length"))
 
 
+def letter_codes(text: str, codes: str) -> Column:
+    """The letters of a text, A to Z replaced by ``codes`` and every other letter by N."""
+    letters = F.translate(F.regexp_replace(text, "\\P{L}", ""), LETTERS + LETTERS.lower(), codes * 2)
+    return F.regexp_replace(letters, "[^A-Z]", "N")
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """Base sequences from document letters."""
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, ("ACGT" * 7)[:26])
+    """Base sequences from document letters; a letter outside A to Z is an N."""
+    seq = letter_codes("text", ("ACGT" * 7)[:26])
     return fill_cluster(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", seq.alias("seq"))
 
 
@@ -83,12 +89,13 @@ def aligned_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_mates(spark: SparkSession, sf: str) -> DataFrame:
-    """Every sequence tiled into fragments of 160 bases read from both ends."""
+    """Every sequence tiled into fragments of 160 bases read from both ends; both mates of a short tile read the whole of it."""
     t = sequences(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,160}"), F.lit(0))).alias("i", "tile"))
-    size = F.when(F.col("i") % 5 == 0, F.lit(70)).otherwise(F.lit(READ_LEN))
+    n = F.length("tile")
+    size = F.when(n <= 90, n).when(F.col("i") % 5 == 0, F.lit(70)).otherwise(F.lit(READ_LEN))
     k = F.col("doc_id") + F.col("i")
-    t = t.where(F.length("tile") > 90).select("doc_id", "i", k.alias("k"), "tile", size.alias("size"), (F.col("i") % 3 != 0).alias("first_is_left"))
-    start2 = F.when(F.col("size") == 70, F.lit(90)).otherwise(F.lit(60))
+    t = t.select("doc_id", "i", k.alias("k"), "tile", size.alias("size"), (F.col("i") % 3 != 0).alias("first_is_left"))
+    start2 = F.when(F.length("tile") <= 90, F.lit(0)).when(F.col("i") % 5 == 0, F.lit(90)).otherwise(F.lit(60))
     ref1, ref2 = F.substring("tile", F.lit(1), F.col("size")), F.substring("tile", start2 + 1, F.col("size"))
     t = t.select("*", start2.alias("start2"), ref1.alias("ref1"), ref2.alias("ref2"))
     q = lambda col, a, b: F.transform(F.sequence(F.lit(0), F.length(col) - 1), lambda j: ((j * a + F.col("k") + b) % 41).cast("int"))
@@ -134,6 +141,11 @@ def genotypes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def letter_codes_sql(text: str, codes: str) -> str:
+    """``letter_codes`` as DuckDB text."""
+    return f"regexp_replace(translate(regexp_replace({text}, '\\P{{L}}', '', 'g'), '{LETTERS + LETTERS.lower()}', '{codes * 2}'), '[^A-Z]', 'N', 'g')"
+
+
 # The same tables as DuckDB text, for the oracle.
 SQL = {
     "matrix": """matrix as (select concat('chr', cast(l_suppkey % 22 + 1 as varchar)) as chr,
@@ -150,8 +162,7 @@ SQL = {
   cast(floor(epoch_us(ts) / 60000000) - 28401120 as bigint) as s_pos, value as s_value, event_type as s_type, event_id as s_id,
   user_id as s_user from events)""",
     "sizes": """sizes as (select concat('chr', cast(i as varchar)) as chr, cast(20101 as bigint) as length from range(1, 23) t(i))""",
-    "sequences": """sequences as (select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
-  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents)""",
+    "sequences": f"sequences as (select doc_id, {letter_codes_sql('text', ('ACGT' * 7)[:26])} as seq from documents)",
     "reads": """slices as (select doc_id, regexp_extract_all(seq, '.{1,100}') as s from sequences),
 reads0 as (select doc_id, unnest(range(len(s))) as i, unnest(s) as ref from slices),
 reads1 as (select doc_id, i, ref, doc_id + i as k, (doc_id + i) % 2 = 1 as neg, i % 4 >= 2 as second from reads0),
@@ -161,8 +172,8 @@ reads as (select *, neg <> second as molecule,
        when (neg <> second) then translate(ref, 'G', 'A') else translate(ref, 'C', 'T') end as bases from reads1)""",
     "mates": """tiles as (select doc_id, regexp_extract_all(seq, '.{1,160}') as s from sequences),
 mates0 as (select doc_id, unnest(range(len(s))) as i, unnest(s) as tile from tiles),
-mates1 as (select doc_id, i, doc_id + i as k, tile, case when i % 5 = 0 then 70 else 100 end as size, i % 3 <> 0 as first_is_left,
-  case when i % 5 = 0 then 90 else 60 end as start2 from mates0 where length(tile) > 90),
+mates1 as (select doc_id, i, doc_id + i as k, tile, case when length(tile) <= 90 then length(tile) when i % 5 = 0 then 70 else 100 end as size, i % 3 <> 0 as first_is_left,
+  case when length(tile) <= 90 then 0 when i % 5 = 0 then 90 else 60 end as start2 from mates0),
 mates as (select *, substr(tile, 1, size) as ref1, substr(tile, start2 + 1, size) as ref2,
   translate(substr(tile, 1, size), 'C', 'T') as bases1, replace(substr(tile, start2 + 1, size), 'CG', 'TG') as bases2 from mates1)""",
     "alignments": """alignments as (select l_orderkey as read_name, l_linenumber as line, cast(l_partkey as bigint) as partkey,

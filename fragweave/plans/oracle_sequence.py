@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fragweave.functions.sequence import IUPAC_BASES, IUPAC_CODES, IUPAC_COMPLEMENTS, all_kmers
-from fragweave.plans.bindings import ctes
+from fragweave.plans.bindings import ctes, letter_codes_sql
 
 SEQ = "with " + ctes("sequences")
 READS = "with " + ctes("sequences", "reads")
@@ -49,16 +49,16 @@ ORACLE = {
     + """ from k group by doc_id)
   select doc_id, """ + ", ".join(f"round(coalesce(100.0::double * c.{m} / c.w, 0), 8) as {m}" for m in all_kmers(2)) + " from sequences left join c using (doc_id)",
     "kmer_freq_sparse": SEQ + """, k as (select doc_id, length(seq) - 3 as w, substr(seq, unnest(range(1, length(seq) - 2)), 4) as kmer from sequences)
-  select doc_id, kmer, count(*) as n, round(100.0::double * count(*) / w, 8) as freq from k group by doc_id, kmer, w""",
+  select doc_id, kmer, count(*) as n, round(100.0::double * count(*) / w, 8) as freq from k where not contains(kmer, 'N') group by doc_id, kmer, w""",
     "gc_content": SEQ + """, l as (select doc_id, string_split(seq, '') as s, length(seq) as n from sequences)
   select doc_id, cast(n as int) as n, round(100.0::double * len(list_filter(s, lambda x: x in ('G', 'C'))) / nullif(n, 0), 8) as gc,
   round(case when n > 1 then len(list_filter(range(1, n), lambda p: s[p] = 'C' and s[p + 1] = 'G')) / (n - 1) end, 8) as cg_freq,
   cast(len(list_filter(range(1, n - 1), lambda p: s[p] = 'A' and s[p + 1] = 'C' and s[p + 2] = 'A')) as int) as n_aca,
-  cast(len(list_filter(range(1, n), lambda p: s[p] = 'C' and s[p + 1] <> 'G')) as int) as n_ch,
+  cast(len(list_filter(range(1, n), lambda p: s[p] = 'C' and s[p + 1] in ('A', 'C', 'T'))) as int) as n_ch,
   cast(len(list_filter(range(1, n - 2), lambda p: s[p] in ('A', 'T') and s[p + 1] = 'C' and s[p + 2] = 'G' and s[p + 3] in ('A', 'T'))) as int) as n_wcgw from l""",
     "revcomp": SEQ + " select doc_id, translate(seq, 'ACGT', 'TGCA') as complement, " + revcomp("seq") + " as reverse_complement from sequences",
-    "seq_encode": READS + """ select doc_id, cast(i as int) as i, rpad(translate(ref, 'ATCG', '1234'), 120, '0') as ref_digits, rpad(translate(bases, 'ATCG', '1234'), 120, '0') as base_digits from reads""",
-    "iupac_table": f"""with c as (select translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{(IUPAC_CODES * 2)[:26]}') as s from documents),
+    "seq_encode": READS + """ select doc_id, cast(i as int) as i, rpad(translate(ref, 'ATCGN', '12345'), 120, '0') as ref_digits, rpad(translate(bases, 'ATCGN', '12345'), 120, '0') as base_digits from reads""",
+    "iupac_table": f"""with c as (select {letter_codes_sql('text', (IUPAC_CODES * 2)[:26])} as s from documents),
   p as (select substr(s, unnest(range(1, length(s))), 2) as pair from c), g as (select pair, count(*) as n, substr(pair, 1, 1) as a, substr(pair, 2, 1) as b from p group by pair),
   m as (select *, {mask('a')} as x, {mask('b')} as y from g)
   select pair, n, y > 0 and (x & y) = y as matches, (x & y) > 0 as overlaps, {code('(x | y)')} as combined, a in ('A', 'C', 'G', 'T') as regular,
@@ -87,8 +87,8 @@ ORACLE = {
   select read_name, line, partkey, cast(pos + m1 + ins + m2 + 10 - 1 as int) as mate_end, cast(pos + m1 + m2 + del + 10 - 1 as int) as aligned_end,
   cast(case when 5 < m1 then s + 5 when 5 < m1 + m2 then s + ins + 5 when 5 < m1 + m2 + del then null when 5 < m1 + m2 + del + 10 then s + ins + 5 - del end as int) as offset_at_5 from g""",
     "conversion_filter": READS + f""", o as (select doc_id, i, case when molecule then {revcomp('ref')} else ref end as r, case when molecule then {revcomp('bases')} else bases end as b from reads),
-  c as (select *, len(list_filter(range(1, length(r)), lambda p: substr(r, p, 1) = 'C' and substr(r, p + 1, 1) <> 'G')) as nr,
-   len(list_filter(range(1, length(b)), lambda p: substr(b, p, 1) = 'C' and substr(b, p + 1, 1) <> 'G')) as nb,
+  c as (select *, len(list_filter(range(1, length(r)), lambda p: substr(r, p, 1) = 'C' and substr(r, p + 1, 1) in ('A', 'C', 'T'))) as nr,
+   len(list_filter(range(1, length(b)), lambda p: substr(b, p, 1) = 'C' and substr(b, p + 1, 1) in ('A', 'C', 'T'))) as nb,
    len(list_filter(range(1, length(b) + 1), lambda p: substr(b, p, 1) <> substr(r, p, 1) and not (substr(r, p, 1) = 'C' and substr(b, p, 1) = 'T'))) as bad from o)
   select doc_id, cast(i as int) as i, case when case when nr > 0 then nb / nr >= 0.4 else nb > 0 end then -1 else 0 end as lenient,
   case when case when nr > 0 then nb / nr >= 0.1 else nb > 0 end or bad > 0.1 * length(b) then -1 else 0 end as strict from c""",
@@ -111,8 +111,8 @@ ORACLE = {
    count(*) filter (where r in ('G', 'C')) as n_gc, count(*) as n, """ + ", ".join(f"count(*) filter (where r || r1 = '{m}') as {m}" for m in ("AA", "CG", "GC", "TT")) + """ from l group by all)
   select c.doc_id, cast(c.i as int) as i, cast(m as int) as m, cast(u as int) as u, round(100.0::double * m / nullif(m + u, 0), 7) as methy_frac,
   round(100.0::double * m / least(start2 + n2, n1 + n2), 7) as density, round(100.0::double * n_gc / n, 7) as gc_perc, """
-    + ", ".join(f"round(100.0::double * c.{m} / (n - 1), 7) as {m}" for m in ("AA", "CG", "GC", "TT")) + " from c join ov on ov.doc_id = c.doc_id and ov.i = c.i",
-    "fragment_digits": READS + BASES + """ select doc_id, cast(i as int) as i, rpad(string_agg(case r when 'A' then '1' when 'T' then '2' when 'C' then '3' else '4' end, '' order by p), 110, '0') as ref_digits,
+    + ", ".join(f"round(coalesce(100.0::double * c.{m} / nullif(n - 1, 0), 0), 7) as {m}" for m in ("AA", "CG", "GC", "TT")) + " from c join ov on ov.doc_id = c.doc_id and ov.i = c.i",
+    "fragment_digits": READS + BASES + """ select doc_id, cast(i as int) as i, rpad(string_agg(case r when 'A' then '1' when 'T' then '2' when 'C' then '3' when 'G' then '4' else '5' end, '' order by p), 110, '0') as ref_digits,
   rpad(string_agg(case when q < 5 or cg is null then '1' when cg = 1 then '2' else '3' end, '' order by p), 110, '0') as methy_digits from call group by doc_id, i""",
     "mate_pairs": ALN + """, a as (select read_name, line, pos, mapq, (flag & 128) <> 0 as second, partkey from alignments),
   g as (select *, count(*) over (partition by read_name) as c, row_number() over (partition by read_name order by pos, second, line, mapq, partkey) as rn from a)

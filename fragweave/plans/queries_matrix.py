@@ -63,7 +63,7 @@ def fragment_gaps(spark, sf):
 
 def fragment_reject(spark, sf):
     t = M.fragments(M.first_per_offset(scored(spark, sf)), ["z_len"], min_points=2, max_points=6, keep_rejected=True)
-    return t.select("read_name", F.col("n").cast("int").alias("n"), F.element_at("offset", -1).alias("last_offset"), "accepted")
+    return t.select("read_name", F.col("n").cast("int").alias("n"), "last_offset", "accepted")
 
 
 def initial_state_table(spark, sf):

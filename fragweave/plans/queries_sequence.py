@@ -42,7 +42,7 @@ def seq_encode(spark, sf):
 
 def iupac_table(spark, sf):
     """IUPAC comparison and combination of the codes under consecutive letters of every text."""
-    codes = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), B.LETTERS, (S.IUPAC_CODES * 2)[:26])
+    codes = B.letter_codes("text", (S.IUPAC_CODES * 2)[:26])
     pairs = F.regexp_extract_all(codes, F.lit("(?=([A-Z]{2}))"), F.lit(1))
     t = B.table(spark, sf, "documents").select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     a, b = F.substring("pair", 1, 1), F.substring("pair", 2, 1)

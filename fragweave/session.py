@@ -31,9 +31,12 @@ def local_session(name: str = "fragweave", cpus: str | int = "*") -> SparkSessio
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is configured."""
+    """Shared folder named by the cluster. Where none is, a local session gets a temporary one and a cluster an
+    error, since its executors could not read each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fragweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
