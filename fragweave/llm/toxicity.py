@@ -5,6 +5,9 @@ letters into spaces, so the automaton sees words with a space on both sides. Lex
 whole words (" idiot ") or word beginnings (" idio"), each weighted by its smoothed log odds among
 labelled documents. Matches inside an exception phrase do not count. The sum of weights is
 normalised by length, and a logistic curve fitted on the labelled documents turns it into a score.
+The curve weighs the normalised sum and the plain one, so the labels decide how much length counts:
+one entry in a very long text is not diluted away where labels call such texts toxic. Neither weight
+is negative, so more matches never lower a score.
 """
 
 from __future__ import annotations
@@ -69,6 +72,7 @@ class Lexicon(NamedTuple):
     exceptions: tuple[str, ...] = ()
     intercept: float = -4.0
     slope: float = 4.0
+    plain_slope: float = 0.0
 
 
 class Matcher:
@@ -85,10 +89,10 @@ class Matcher:
         if self.any:
             self.automaton.make_automaton()
 
-    def strength(self, text: str | None) -> float:
-        """Summed weights, one per word, over the logarithm of the length in words."""
+    def strength(self, text: str | None) -> tuple[float, float]:
+        """Summed weights, one per word: over the logarithm of the length in words, and plain."""
         if not text or not self.any:
-            return 0.0
+            return 0.0, 0.0
         text = folded(text, self.table)
         hits: dict[int, float] = {}
         spans = []
@@ -99,14 +103,17 @@ class Matcher:
             elif weight > hits.get(begin, 0.0):
                 hits[begin] = weight
         if not hits:
-            return 0.0
+            return 0.0, 0.0
         for begin, end in spans:
             for at in [at for at in hits if begin <= at < end]:
                 del hits[at]
-        return sum(hits.values()) / math.log2(2 + len(text.split()))
+        total = sum(hits.values())
+        return total / math.log2(2 + len(text.split())), total
 
     def score(self, strength: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.lexicon.intercept + self.lexicon.slope * strength, -30, 30)))
+        """Scores of rows (normalised sum, plain sum)."""
+        line = self.lexicon.intercept + strength @ np.array([self.lexicon.slope, self.lexicon.plain_slope])
+        return 1 / (1 + np.exp(-np.clip(line, -30, 30)))
 
 
 def entries_of(text: str | None, table: _Folding) -> set[str]:
@@ -127,20 +134,28 @@ def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             names=["entry", "bad", "good"])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Logistic regression on one number by Newton's method, lightly shrunk."""
-    a, b = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0
-    design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        grad = design.T @ (y - p) - ridge * np.array([0, b])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Intercept and slopes of a logistic regression by Newton's method, lightly shrunk; no slope is negative."""
+    active = list(range(x.shape[1]))
+    while True:
+        found = np.zeros(1 + x.shape[1])
+        found[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+        at = [0, *(1 + k for k in active)]
+        design = np.column_stack([np.ones(len(x)), x[:, active]])
+        shrunk = np.array([0.0] + [ridge] * len(active))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ found[at], -30, 30)))
+            grad = design.T @ (y - p) - shrunk * found[at]
+            hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(at))
+            step = np.linalg.solve(hess, grad)
+            step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+            found[at] += step
+            if np.abs(step).max() < 1e-8:
+                break
+        lowest = min(active, key=lambda k: found[1 + k], default=None)
+        if lowest is None or found[1 + lowest] >= 0:
+            return found
+        active.remove(lowest)
 
 
 def fit(labelled: DataFrame, exceptions: Sequence[str] = EXCEPTIONS, size: int = LEXICON, support: int = SUPPORT) -> Lexicon:
@@ -161,17 +176,17 @@ def fit(labelled: DataFrame, exceptions: Sequence[str] = EXCEPTIONS, size: int =
     weights = {r["entry"]: r["weight"] for r in rows}
     # a longer entry adds nothing to a beginning that weighs as much
     weights = {e: w for e, w in weights.items() if not any(weights.get(f" {e.strip()[:k]}", 0) >= w for k in PREFIXES if k < len(e.strip()) + e.endswith(" "))}
-    matcher = Matcher(lexicon := Lexicon(weights, tuple(exceptions)))
+    lexicon = Lexicon(weights, tuple(exceptions))
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(lexicon)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.strength(t.as_py()) for t in batch.column(0)], pa.float64()), batch.column(1)], names=["x", "y"])
+            pairs = np.array([own.strength(t.as_py()) for t in batch.column(0)], float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), batch.column(1)], names=["x", "plain", "y"])
 
-    del matcher
-    points = labelled.select("text", "label").mapInArrow(strengths, "x double, y int").toPandas()  # two numbers a labelled row
-    a, b = fit_curve(points["x"].to_numpy(float), points["y"].to_numpy(float))
-    return lexicon._replace(intercept=a, slope=b)
+    points = labelled.select("text", "label").mapInArrow(strengths, "x double, plain double, y int").toPandas()  # three numbers a labelled row
+    a, b, c = map(float, fit_curve(points[["x", "plain"]].to_numpy(float), points["y"].to_numpy(float)))
+    return lexicon._replace(intercept=a, slope=b, plain_slope=c)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int = 3, out: int = 1, rows: int = FIT_ROWS) -> DataFrame:
@@ -202,7 +217,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, k
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                score = matcher.score(np.array([matcher.strength(t.as_py()) for t in part.column(n_keep)], float))
+                score = matcher.score(np.array([matcher.strength(t.as_py()) for t in part.column(n_keep)], float).reshape(-1, 2))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:n_keep], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=names)
 
