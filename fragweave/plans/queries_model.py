@@ -112,13 +112,13 @@ def init_random(spark, sf):
 def em_train(spark, sf):
     """Train from the mixture start; the driver tables only have short fragments, hence the low length bound."""
     seqs = durable(sequences_of(spark, sf, 2), "train")
-    t = H.train(seqs, H.init_gmm(seqs), max_iter=5, kl_min_len=KL_MIN, keep=False)
+    t = H.train(seqs, H.init_gmm(seqs), kl_min_len=KL_MIN, keep=False)
     return _model_rows(spark, t.model)
 
 
 def train_and_predict(spark, sf):
     seqs = durable(sequences_of(spark, sf, 2), "train")
-    m = H.train(seqs, H.init_observed(seqs), max_iter=3, kl_min_len=KL_MIN, keep=False).model
+    m = H.train(seqs, H.init_observed(seqs), kl_min_len=KL_MIN, keep=False).model
     return H.predictions(H.decoded_points(H.decode(sequences_of(spark, sf), m)), m)
 
 

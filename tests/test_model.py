@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fragweave.operators import hmm as H
 from fragweave.operators import matrix as M
 from fragweave.operators import tissue as TI
+from fragweave.plans import queries_model as Q
+from tests.conftest import SF
 
 FEATS = ["z_len", "z_cov", "z_dist"]
 ONE = ((1.0,),) * 3
@@ -186,6 +188,19 @@ def test_training_is_repeatable_and_fails_without_long_fragments(spark):
         H.train(df.where("n > 1000"), model(), FEATS)
 
 
+@pytest.mark.parametrize("query", [Q.em_train, Q.train_and_predict])
+def test_training_queries_end_by_the_stop_rule_only(spark, monkeypatch, query):
+    train, got = H.train, []
+
+    def unsettled(*args, **kw):
+        got.append(train(*args, **kw, tol=0.0, decay=0.0))
+        return got[-1]
+
+    monkeypatch.setattr(H, "train", unsettled)
+    assert query(spark, SF).count() > 0
+    assert len(got[0].distances) == 50
+
+
 def test_model_round_trip(spark, tmp_path):
     m = model(comps=2)
     m.save(spark, str(tmp_path / "m"))
