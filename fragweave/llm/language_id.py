@@ -22,8 +22,8 @@ from fragweave.llm.textkernel import mix
 
 BINS = 1 << 14
 UNKNOWN = "und"
-#: Bounds of the fit: documents per language, and languages (the most frequent ones).
-PER_LANGUAGE, LANGUAGES = 700, 100
+#: Bounds of the fit: documents per language and in all (every language keeps some), and bytes of the table of bins x languages.
+PER_LANGUAGE, ROWS, TABLE_BYTES = 700, 70_000, 1 << 28
 PIECE = 1 << 19
 
 
@@ -151,16 +151,21 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(train: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Learn from rows (doc_id, text, lang).
+def fit(train: DataFrame, per_language: int = PER_LANGUAGE, table_bytes: int = TABLE_BYTES) -> Model:
+    """Learn every language of the rows (doc_id, text, lang).
 
-    Document frequencies count every row. The regression sees about ``per_language`` rows of each of
-    the ``languages`` most frequent languages, picked by the hash of doc_id.
+    Document frequencies count every row. The regression sees about ``per_language`` rows of each
+    language, fewer where ``ROWS`` are shared by many, picked by the hash of doc_id. More languages
+    than a table of ``table_bytes`` holds are an error; none is left out.
     """
     spark = train.sparkSession
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    most = table_bytes // (8 * BINS)
+    sizes = train.groupBy("lang").count().limit(most + 1).collect()
     if not sizes:
         return Model((), np.zeros((BINS, 0)), np.zeros(0), 1.0)
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: the table of {BINS} bins x languages would pass {table_bytes} bytes")
+    per_language = max(1, min(per_language, ROWS // len(sizes)))
     names = tuple(sorted(r["lang"] for r in sizes))
     found = train.select("text").mapInArrow(_frequencies, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # one row a bin
     n_docs = int(found.loc[found["bin"] == -1, "n"].sum())
@@ -171,7 +176,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LAN
 
     share = spark.createDataFrame(pd.DataFrame({"lang": [r["lang"] for r in sizes], "share": [min(1.0, per_language / r["count"]) for r in sizes]}), "lang string, share double")
     pick = (F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("pick")
-    sample = train.select("text", "lang", pick).join(F.broadcast(share), "lang").where("pick < share")  # at most ``languages`` rows
+    sample = train.select("text", "lang", pick).join(F.broadcast(share), "lang").where("pick < share")  # one row a language
     rows = sample.select("text", "lang", (F.col("pick") / F.col("share")).alias("pick")).mapInArrow(
         _features, "at array<int>, share array<float>, lang string, pick double").toPandas()
     rows = rows.sort_values(["pick", "lang"], kind="stable").reset_index(drop=True)
@@ -181,6 +186,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LAN
         v = np.asarray(s, float) * idf[np.asarray(at, np.int64)] if len(at) else np.zeros(0)
         x.append((np.append(np.asarray(at, np.int64), BINS), np.append(v * 20, 1.0)))
     held = rows["pick"].to_numpy() >= 0.8
+    held &= np.bincount(y[~held], minlength=len(names))[y] > 0  # a language with held rows only is learned from them
     own = np.flatnonzero(~held)
     w, bias = ftrl([x[i] for i in own], y[own], len(names))
     left = np.flatnonzero(held)

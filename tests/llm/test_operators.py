@@ -357,6 +357,23 @@ def test_language_id_without_languages(spark, empty):
     assert language_id.predict(docs_of(spark, [(1, "words")]), model).first().lang_pred == "und"
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(9)
+
+    def text(n):
+        return "".join(rng.choice([chr(0x4E00 + 12 * n + j) for j in range(12)]) for _ in range(60))
+
+    rows = [(10 * n + i, text(n), f"l{n:03d}") for n in range(120) for i in range(10 if n < 60 else 6)]
+    once = [(d, text(200 + d % 1000), f"once{d}") for d in range(5000, 5024) if zlib.crc32(str(d).encode()) % 4 != 2]
+    docs = docs_of(spark, rows + once)
+    model = language_id.fit(language_id.training_docs(docs))
+    assert set(model.languages) == {r[2] for r in rows + once}
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [(d, got[d]) for d, _, lang in rows + once if got[d] != lang] == []
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.fit(language_id.training_docs(docs), table_bytes=3 * 8 * language_id.BINS)
+
+
 def labelled(spark, rows, bad):
     return spark.createDataFrame([(d, int(bad(t)), int(bad(t))) for d, t, *_ in rows if d is not None and t], "doc_id bigint, toxic int, quality int")
 
