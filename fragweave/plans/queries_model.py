@@ -145,10 +145,16 @@ def gram_matrix(spark, sf):
 
 
 def tissue_fractions(spark, sf):
-    """Samples 0-9 as reference tissues, the others as mixtures to be explained."""
+    """Samples 0-9 as reference tissues, the others as mixtures to be explained.
+
+    The fit takes the most variable windows of the reference that have a level in every tissue and mixture.
+    Each coverage is raised by 0.02: as derived, it leaves no window with a level in all mixtures.
+    """
     tissues, samples = list(range(10)), list(range(10, 64))
     levels = TI.window_levels(_vectors(spark, sf).withColumn("coverage", F.col("coverage") + 0.02), ["vec_id"], "sample", "methylated", "coverage")
-    levels = levels.withColumn("level", TI.binary(F.col("level")))
+    panel = levels.where(F.col("sample").isin(tissues))
+    chosen = TI.most_variable(panel, ["vec_id"]).select("vec_id").join(TI.complete_windows(levels, ["vec_id"]), "vec_id")
+    levels = levels.join(chosen, "vec_id", "left_semi").withColumn("level", TI.binary(F.col("level")))
     ref = TI.wide_matrix(levels, ["vec_id"], "sample", tissues, "x")
     cf = TI.wide_matrix(levels, ["vec_id"], "sample", samples, "y")
     t = TI.tissue_fractions(ref, cf, ["vec_id"], tissues, samples)

@@ -280,6 +280,25 @@ def test_simplex_program_against_grid():
     assert TI.simplex_least_squares(g, np.ones(4)).sum() == pytest.approx(1)
 
 
+def test_tissue_query_fits_most_variable_complete_windows(spark, monkeypatch):
+    raw = Q._vectors(spark, SF).withColumn("coverage", F.when((F.col("vec_id") % 2 == 0) & (F.col("sample") == 20), -1.0).otherwise(F.col("coverage")))
+    monkeypatch.setattr(Q, "_vectors", lambda *_: raw)
+    fit, used = TI.tissue_fractions, []
+
+    def seen(ref, cf, *args):
+        used.append({r["vec_id"] for r in ref.join(cf, "vec_id").collect()})
+        return fit(ref, cf, *args)
+
+    monkeypatch.setattr(TI, "tissue_fractions", seen)
+    assert Q.tissue_fractions(spark, SF).count() == 540
+    levels: dict = {}
+    for r in raw.where("sample < 10").collect():
+        levels.setdefault(r["vec_id"], []).append(r["methylated"] / (r["coverage"] + 0.02))
+    sd = {v: np.std(x, ddof=1) for v, x in levels.items()}
+    cut = np.quantile(list(sd.values()), 0.99)
+    assert used[0] == {v for v, s in sd.items() if s > cut and v % 2} != set()
+
+
 def test_tissue_fractions_recover_a_mixture(spark):
     rng = np.random.default_rng(3)
     x = rng.random((200, 4))
