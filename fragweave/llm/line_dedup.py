@@ -127,9 +127,14 @@ def may_be_near(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, map(apart, range(len(LETTERS)))) <= 2 * edits
 
 
+def _id() -> Column:
+    """The name of a row: doc_id and a digest of the text, as different texts may share a doc_id or have none."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text"))
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, at, line, h1, h2) of the lines that take part; h1 and h2 are 128 bits of digest."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = docs.select(_id().alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -181,12 +186,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     """All columns of ``docs`` with the shortened text, and n_lines and n_dropped in place of any such.
 
     Every row stays, with the lines that are left joined again; null texts stay null and have no
-    lines, shorter lines and empty ones always stay. A null doc_id counts as the last. Rows that share
-    a doc_id and a text are one document and get the same result.
+    lines, shorter lines and empty ones always stay. A null doc_id counts as the last; different texts
+    that share a doc_id or have none follow each other by a digest of the text. Rows that share a doc_id
+    and a text are one document and get the same result.
     """
     drops = written(duplicates(docs, min_chars, edits), "line-drops").groupBy("id").agg(F.collect_list("code").alias("_drops")).withColumnRenamed("id", "_id")
     drops = drops.withColumn("_bucket", _bucket(F.xxhash64("_id")))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("_bucket", _bucket(F.xxhash64("_id")))
+    own = docs.withColumn("_id", _id()).withColumn("_bucket", _bucket(F.xxhash64("_id")))
     some = F.broadcast(drops.select("_bucket").distinct())  # at most BUCKETS rows
     whole = own.join(some, "_bucket", "left_anti").withColumn("_drops", F.lit(None).cast("array<bigint>"))
     cut = own.join(some, "_bucket", "left_semi").join(drops.drop("_bucket").hint("merge"), "_id", "left")

@@ -200,6 +200,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert total[1] == sum(len(t.split("\n")) - (len(want[d].split("\n")) if want[d] else want[d].count("\n") + (t.split("\n")[-1] == "" or d in (71,))) for d, t in rows if t is not None)
 
 
+def test_line_dedup_of_texts_that_share_an_id_or_have_none(spark):
+    tails = ["the quick brown fox jumps", "pack my box with five dozen jugs", "sphinx of black quartz judge my vow", "how vexingly daft zebras run about"]
+    same, near = "a line that both of them begin with", "another line that both of them hold"
+    rows = [(None, f"{same}\n{tails[0]}"), (None, f"{same}\n{tails[1]}"), (5, f"{near}\n{tails[2]}"), (5, f"{near[:-1]}D\n{tails[3]}"), (6, None), (6, "x")]
+    got = line_dedup.dedup_lines(docs_of(spark, rows).repartition(3)).collect()
+    left = [line for r in got if r.text is not None for line in r.text.split("\n")]
+    assert len(got) == 6 and sorted(line for line in left if line in tails) == sorted(tails)
+    assert left.count(same) == 1 and left.count(near) + left.count(near[:-1] + "D") == 1
+    assert sum(r.n_dropped for r in got) == 2
+
+
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
