@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-import fragweave.llm.common  # noqa: F401
+from fragweave.llm.common import shipped
 
 END = "</w>"
 #: Encodings each Python worker remembers, in two generations; only speed depends on it.
@@ -219,11 +219,11 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: t
     else their digests ids_sha256 and decoded_sha256. Every row is encoded by itself, so ties and
     repeated rows need no care.
     """
-    tokenizer = docs.sparkSession.sparkContext.broadcast(Tokenizer(path))  # bounded by the vocabulary
+    tokenizer = shipped(docs.sparkSession, Tokenizer(path))  # bounded by the vocabulary
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer.value
+        enc = tokenizer()
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):

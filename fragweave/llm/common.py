@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,13 +39,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; it survives the loss of any executor."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of this package's own classes; call the result in a worker to have it back.
+
+    A broadcast pickles classes by name, which needs the package on every executor, so the object
+    travels as bytes that hold its class. A worker rebuilds it once and keeps it with the broadcast.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def value_of() -> object:
+        if not hasattr(sent, "rebuilt"):
+            sent.rebuilt = cloudpickle.loads(sent.value)
+        return sent.rebuilt
+
+    return value_of
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragweave.llm.common import fold_of
+from fragweave.llm.common import fold_of, shipped
 from fragweave.llm.textkernel import mix
 
 BINS = 1 << 14
@@ -203,10 +203,10 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     source = docs.select(*keep, docs["text"].alias("_text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     n_keep, names = len(keep), [*keep, "lang_pred", "score"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x languages numbers
+    shared = shipped(docs.sparkSession, model)  # BINS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared()
         table = m.table.astype(np.float32)
         for batch in batches:
             lang, score = [], []

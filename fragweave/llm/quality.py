@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragweave.llm.common import shipped
 from fragweave.llm.textkernel import chunks, mix, runs, span_hashes
 
 BITS, DIMS, NONZERO, WINDOW = 14, 32, 4, 2
@@ -179,10 +180,10 @@ def score_documents(docs: DataFrame, vectors: np.ndarray, net: Network, keep: Se
     source = docs.select(*keep, docs["text"].alias("_text"))
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     n_keep, names = len(keep), [*keep, "score", "predicted"]
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))  # fixed size
+    shared = shipped(docs.sparkSession, (vectors, net))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vec, own = shared.value
+        vec, own = shared()
         for batch in batches:
             score = 1 / (1 + np.exp(-np.clip(own.logit(pooled(batch.column(n_keep), vec).astype(float)), -30, 30)))
             yield pa.RecordBatch.from_arrays(

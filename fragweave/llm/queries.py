@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragweave.llm import bpe, chat, exact_dedup, fingerprint, jaccard_join, language_id, line_dedup, mixing, quality, toxicity
+from fragweave.llm import bpe, chat, exact_dedup, fingerprint, jaccard_join, language_id, line_dedup, mixing, neighbours, periodic_runs, quality, token_alignment, toxicity
 from fragweave.llm.common import fold_of, table
 
 
@@ -79,6 +81,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def tiled_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Word numbers of a tenth of the documents: from word a on, the p words there repeat to the end."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    at[a:] = a + (at[a:] - a) % p
+    return at
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=tiled_order)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.get(F.array_sort("runs", lambda x, y: F.coalesce(
+        F.nullif(F.signum(y["length"] - x["length"]), F.lit(0.0)), F.nullif(F.signum(x["start"] - y["start"]), F.lit(0.0)), F.signum(x["period"] - y["period"])).cast("int")), F.lit(0))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), "runs", "collapsed").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), full=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -86,7 +123,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_mixing, op3_line_dedup, op4_quality, op5_fingerprint, op6_chat_format, op7_exact_dedup, op8_jaccard_join, op9_bpe, op10_toxicity, pipeline)}
+    op1_language_id, op2_mixing, op3_line_dedup, op4_quality, op5_fingerprint, op6_chat_format, op7_exact_dedup, op8_jaccard_join, op9_bpe, op10_toxicity,
+    op11_periodic_runs, op12_token_alignment, op13_neighbours, pipeline)}
 
 SPACE = r"[\x20\x09-\x0D]+"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragweave.llm.common import fold_of
+from fragweave.llm.common import fold_of, shipped
 
 # Letters of other scripts and digits that stand in for Latin letters.
 HOMOGLYPHS = {
@@ -210,10 +210,10 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, k
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     names = [*keep, "score", "predicted"]
     n_keep = len(keep)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON entries
+    shared = shipped(docs.sparkSession, lexicon)  # at most LEXICON entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(shared())
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
