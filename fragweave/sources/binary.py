@@ -1,433 +1,45 @@
-"""Readers of the binary genome formats as Spark data sources.
+"""Readers of the binary genome formats, registered as Spark data sources.
 
-Register with ``spark.dataSource.register(BamSource)`` (or ``register_all``) and use
-``spark.read.format("bam").load(path)``. Planning reads a header at most; every partition then
-opens the file on its own and reads its byte range, so a file is read in parallel and a lost task
-is simply repeated. Paths must be readable on the executors.
+``register_all(spark)``, then ``spark.read.format("bam").load(path)``. Planning reads headers and
+indexes at most; every task opens the file on its own, so a file is read in parallel and a lost task
+is simply repeated. A region given as an option, as the functions below do, is looked up in the
+file's own index.
+
+With the option ``push`` and spark.sql.python.filterPushdown.enabled the sources also take filters from
+Spark. Neither is on by default: Spark 4.1 keeps pushed filters with the loaded DataFrame, so that a
+second query on it, filtered otherwise, sees the first one's rows; one load then serves one query.
 """
 
 from __future__ import annotations
 
-import os
-import struct
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SPLIT = 32 << 20
-# Letters of 4-bit bases and of CIGAR operations, in code order.
-BAM_BASES = "=ACMGRSVTWYHKDBN"
-BAM_OPS = "MIDNSHP=X"
-TWOBIT_BASES = "TCAG"
-
-
-@dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    end: int
-
-
-class _Base(DataSource):
-    @property
-    def path(self) -> str:
-        path = self.options.get("path")
-        if not path:
-            raise ValueError("a path is needed")
-        return path.removeprefix("file:")
-
-
-# --- BAM --------------------------------------------------------------------------------------
-
-
-def _block_at(f, pos: int) -> tuple[bytes, int] | None:
-    """Uncompressed BGZF block at a file offset and the offset of the next one."""
-    f.seek(pos)
-    head = f.read(18)
-    if len(head) < 18:
-        return None
-    if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"BC":
-        raise ValueError(f"no BGZF block at {pos}")
-    size = struct.unpack_from("<H", head, 16)[0] + 1
-    body = f.read(size - 18)
-    return zlib.decompress(body[:-8], -15), pos + size
-
-
-def _next_block(f, pos: int, limit: int) -> int | None:
-    """First file offset from ``pos`` on that starts a block whose successor starts one too."""
-    while pos < limit:
-        f.seek(pos)
-        window = f.read(1 << 17)
-        i = window.find(b"\x1f\x8b\x08\x04")
-        while i >= 0:
-            try:
-                block = _block_at(f, pos + i)
-                if block is not None:
-                    f.seek(block[1])
-                    if f.read(4) in (b"", b"\x1f\x8b\x08\x04"):
-                        return pos + i
-            except (ValueError, zlib.error, struct.error):
-                pass
-            i = window.find(b"\x1f\x8b\x08\x04", i + 1)
-        if len(window) < 1 << 17:
-            return None
-        pos += len(window) - 3
-    return None
-
-
-def _bam_header(path: str) -> tuple[list[str], int, int]:
-    """Contig names and the (block offset, offset in block) of the first record."""
-    with open(path, "rb") as f:
-        data, at, blocks = b"", 0, []
-
-        def need(n: int) -> None:
-            nonlocal data, at
-            while len(data) < n:
-                block = _block_at(f, at)
-                if block is None:
-                    raise ValueError("truncated BAM header")
-                blocks.append((len(data), at))
-                data += block[0]
-                at = block[1]
-
-        need(8)
-        if data[:4] != b"BAM\1":
-            raise ValueError(f"{path} is not a BAM file")
-        p = 8 + struct.unpack_from("<i", data, 4)[0]
-        need(p + 4)
-        n_ref = struct.unpack_from("<i", data, p)[0]
-        p += 4
-        names = []
-        for _ in range(n_ref):
-            need(p + 4)
-            size = struct.unpack_from("<i", data, p)[0]
-            need(p + 8 + size)
-            names.append(data[p + 4: p + 3 + size].decode())
-            p += 8 + size
-        need(p)
-    for begin, where in reversed(blocks):
-        if begin <= p:
-            return names, where, p - begin
-    raise ValueError("empty BAM file")
-
-
-def _looks_like_record(data: bytes, p: int, n_ref: int) -> int | None:
-    """Size of a plausible record at ``p``, else None; used to find the first record of a split."""
-    if p + 36 > len(data):
-        return None
-    size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mref, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, p)
-    if not (-1 <= ref < n_ref and -1 <= mref < n_ref and pos >= -1 and mpos >= -1 and l_name >= 2 and l_seq >= 0):
-        return None
-    body = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
-    if size < body or size > (1 << 26):
-        return None
-    if p + 36 + l_name <= len(data):
-        name = data[p + 36: p + 36 + l_name]
-        if name[-1] != 0 or not all(33 <= c <= 126 for c in name[:-1]):
-            return None
-    return size + 4
-
-
-def _first_record(data: bytes, n_ref: int) -> int | None:
-    """Offset in ``data`` from which three plausible records follow, or fewer that end exactly with it."""
-    for p in range(len(data)):
-        q, chain = p, 0
-        while chain < 3:
-            size = _looks_like_record(data, q, n_ref)
-            if size is None:
-                break
-            q, chain = q + size, chain + 1
-            if q == len(data):
-                return p
-        if chain == 3:
-            return p
-    return None
-
-
-_QUALS_MISSING = b"\xff"
-
-
-def _bam_row(rec: bytes, names: list[str]) -> tuple:
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, _, mpos, isize = struct.unpack_from("<iiBBHHHiiii", rec, 0)
-    p = 32
-    name = rec[p: p + l_name - 1].decode()
-    p += l_name
-    ops = [(c >> 4, BAM_OPS[c & 15]) for c in struct.unpack_from(f"<{n_cigar}I", rec, p)]
-    p += 4 * n_cigar
-    packed = rec[p: p + (l_seq + 1) // 2]
-    bases = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:l_seq]
-    p += (l_seq + 1) // 2
-    quals = rec[p: p + l_seq]
-    tags = _text_tags(rec, p + l_seq)
-    span = sum(n for n, o in ops if o in "MDN=X")
-    cigar = "".join(f"{n}{o}" for n, o in ops) or "*"
-    return (name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, mpos + 1, isize, bases,
-            list(quals) if quals[:1] != _QUALS_MISSING else [0] * l_seq, tags.get("MD"), tags.get("MC"), pos + span)
-
-
-def _text_tags(rec: bytes, p: int) -> dict[str, str]:
-    """Text tags of a record; others are skipped by their size."""
-    sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-    out = {}
-    while p + 3 <= len(rec):
-        tag, kind = rec[p: p + 2].decode(), chr(rec[p + 2])
-        p += 3
-        if kind in "ZH":
-            end = rec.index(b"\0", p)
-            out[tag] = rec[p:end].decode()
-            p = end + 1
-        elif kind == "B":
-            p += 5 + sizes[chr(rec[p])] * struct.unpack_from("<i", rec, p + 1)[0]
-        else:
-            p += sizes[kind]
-    return out
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.source, self.split = path, split
-
-    def partitions(self):
-        size = os.path.getsize(self.source)
-        return [ByteRange(self.source, a, min(a + self.split, size)) for a in range(0, size, self.split)]
-
-    def read(self, part: ByteRange) -> Iterator[tuple]:
-        names, block, inside = _bam_header(part.path)
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
-            # A split owns the records that begin in a block that begins inside it.
-            if part.start <= block:
-                if part.end <= block:
-                    return
-                at, skip = block, inside
-            else:
-                at, skip = _next_block(f, part.start, part.end), None
-                if at is None or at >= part.end:
-                    return
-            data, owned = b"", 0
-            while True:
-                got = _block_at(f, at)
-                if got is None:
-                    break
-                mine = at < part.end
-                data += got[0]
-                if mine:
-                    owned = len(data)
-                at = got[1]
-                if skip is None:
-                    # The head of the split may be the tail of a record owned by the one before. More
-                    # is read until the place of the first record is certain or the file ends.
-                    if mine and at < min(part.end, size) and len(data) < 1 << 18:
-                        continue
-                    probe, ahead, want = data, at, 1 << 18
-                    while True:
-                        while len(probe) < want and (more := _block_at(f, ahead)) is not None:
-                            probe += more[0]
-                            ahead = more[1]
-                        skip = _first_record(probe, len(names))
-                        if skip is not None or len(probe) < want:
-                            break
-                        want *= 4
-                    if skip is None or skip >= owned:
-                        return
-                p = skip
-                while p + 4 <= len(data) and p < owned:
-                    n = struct.unpack_from("<i", data, p)[0]
-                    if p + 4 + n > len(data):
-                        break
-                    yield _bam_row(data[p + 4: p + 4 + n], names)
-                    p += 4 + n
-                if p >= owned and not mine:
-                    return
-                data, owned, skip = data[p:], max(owned - p, 0), 0
-                if not mine and owned == 0:
-                    return
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fragweave.sources.bam import BAM_BASES, BAM_OPS, BamReader, BamSource, PushingBamReader  # noqa: F401
+from fragweave.sources.bigwig import BigWigReader, BigWigSource, PushingBigWigReader  # noqa: F401
+from fragweave.sources.twobit import TWOBIT_BASES, PushingTwoBitReader, TwoBitReader, TwoBitSource  # noqa: F401
 
-class BamSource(_Base):
-    """Aligned reads in the layout of ``read_sam``; option ``split`` sets bytes per partition."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return ("read_name string, flag int, chr string, pos int, mapq int, cigar string, mate_pos int, insert_size int, bases string, "
-                "quals array<int>, md string, mc string, end_pos int")
-
-    def reader(self, schema):
-        return BamReader(self.path, int(self.options.get("split", SPLIT)))
-
-
-# --- 2bit -------------------------------------------------------------------------------------
-
-
-@dataclass
-class ContigRange(InputPartition):
-    path: str
-    name: str
-    offset: int
-    start: int
-    end: int
-
-
-def _twobit_index(f) -> list[tuple[str, int]]:
-    magic, _, count, _ = struct.unpack("<IIII", f.read(16))
-    if magic != 0x1A412743:
-        raise ValueError("not a little-endian 2bit file")
-    out = []
-    for _ in range(count):
-        size = f.read(1)[0]
-        name = f.read(size).decode()
-        out.append((name, struct.unpack("<I", f.read(4))[0]))
-    return out
-
-
-class TwoBitReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, per_task: int):
-        self.source, self.chunk, self.per_task = path, chunk, per_task
-
-    def partitions(self):
-        parts = []
-        with open(self.source, "rb") as f:
-            for name, offset in _twobit_index(f):
-                f.seek(offset)
-                size = struct.unpack("<I", f.read(4))[0]
-                step = self.chunk * self.per_task
-                parts += [ContigRange(self.source, name, offset, a, min(a + step, size)) for a in range(0, size, step)]
-        return parts
-
-    def read(self, part: ContigRange) -> Iterator[tuple]:
-        letters = [bytes(ord(TWOBIT_BASES[b >> s & 3]) for s in (6, 4, 2, 0)) for b in range(256)]
-        with open(part.path, "rb") as f:
-            f.seek(part.offset + 4)
-            n = struct.unpack("<I", f.read(4))[0]
-            starts = struct.unpack(f"<{n}I", f.read(4 * n))
-            sizes = struct.unpack(f"<{n}I", f.read(4 * n))
-            m = struct.unpack("<I", f.read(4))[0]
-            f.seek(8 * m + 4, os.SEEK_CUR)
-            dna = f.tell()
-            for a in range(part.start, part.end, self.chunk):
-                b = min(a + self.chunk, part.end)
-                f.seek(dna + a // 4)
-                raw = b"".join(letters[x] for x in f.read((b + 3) // 4 - a // 4))
-                seq = bytearray(raw[a % 4: a % 4 + b - a])
-                for s, size in zip(starts, sizes):
-                    lo, hi = max(s, a), min(s + size, b)
-                    if lo < hi:
-                        seq[lo - a: hi - a] = b"N" * (hi - lo)
-                yield part.name, a, seq.decode()
-
-
-class TwoBitSource(_Base):
-    """Genome chunks chr, chunk_start, bases (upper case); options ``chunk`` and ``per_task``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "twobit"
-
-    def schema(self) -> str:
-        return "chr string, chunk_start long, bases string"
-
-    def reader(self, schema):
-        return TwoBitReader(self.path, int(self.options.get("chunk", 1 << 16)), int(self.options.get("per_task", 256)))
-
-
-# --- bigWig -----------------------------------------------------------------------------------
-
-
-@dataclass
-class WigBlocks(InputPartition):
-    path: str
-    names: dict
-    blocks: list
-    buffer: int
-
-
-class BigWigReader(DataSourceReader):
-    def __init__(self, path: str, per_task: int):
-        self.source, self.per_task = path, per_task
-
-    def partitions(self):
-        with open(self.source, "rb") as f:
-            magic, _, _, tree, _, index, _, _, _, _, buffer, _ = struct.unpack("<IHHQQQHHQQIQ", f.read(64))
-            if magic != 0x888FFC26:
-                raise ValueError("not a little-endian bigWig file")
-            names = self._names(f, tree)
-            blocks = sorted(self._leaves(f, index))
-        return [WigBlocks(self.source, names, blocks[i: i + self.per_task], buffer) for i in range(0, len(blocks), self.per_task)]
-
-    @staticmethod
-    def _names(f, tree: int) -> dict[int, str]:
-        f.seek(tree)
-        _, _, key, _, _, _ = struct.unpack("<IIIIQQ", f.read(32))
-        out, todo = {}, [tree + 32]
-        while todo:
-            f.seek(todo.pop())
-            leaf, _, count = struct.unpack("<BBH", f.read(4))
-            for _ in range(count):
-                name = f.read(key).rstrip(b"\0").decode()
-                if leaf:
-                    out[struct.unpack("<II", f.read(8))[0]] = name
-                else:
-                    here = f.tell() + 8
-                    todo.append(struct.unpack("<Q", f.read(8))[0])
-                    f.seek(here)
-        return out
-
-    @staticmethod
-    def _leaves(f, index: int) -> list[tuple[int, int]]:
-        """(offset, size) of every data block, from the index tree."""
-        out, todo = [], [index + 48]
-        while todo:
-            f.seek(todo.pop())
-            leaf, _, count = struct.unpack("<BBH", f.read(4))
-            if leaf:
-                raw = f.read(32 * count)
-                out += [struct.unpack_from("<QQ", raw, 32 * k + 16) for k in range(count)]
-            else:
-                raw = f.read(24 * count)
-                todo += [struct.unpack_from("<Q", raw, 24 * k + 16)[0] for k in range(count)]
-        return out
-
-    def read(self, part: WigBlocks) -> Iterator[tuple]:
-        with open(part.path, "rb") as f:
-            for offset, size in part.blocks:
-                f.seek(offset)
-                raw = f.read(size)
-                if part.buffer:
-                    raw = zlib.decompress(raw)
-                chrom, start, _, step, span, kind, _, count = struct.unpack_from("<IIIIIBBH", raw, 0)
-                name = part.names[chrom]
-                for k in range(count):
-                    if kind == 1:
-                        lo, hi, v = struct.unpack_from("<IIf", raw, 24 + 12 * k)
-                    elif kind == 2:
-                        lo, v = struct.unpack_from("<If", raw, 24 + 8 * k)
-                        hi = lo + span
-                    else:
-                        v = struct.unpack_from("<f", raw, 24 + 4 * k)[0]
-                        lo = start + k * step
-                        hi = lo + span
-                    yield name, lo + 1, hi, float(v)
 
+def register_all(spark: SparkSession) -> None:
+    for source in (BamSource, TwoBitSource, BigWigSource):
+        spark.dataSource.register(source)
 
-class BigWigSource(_Base):
-    """Closed 1-based intervals chr, lo, hi, value; option ``per_task`` sets data blocks per partition."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "bigwig"
+def reads_in(spark: SparkSession, path: str, chrom: str, lo: int, hi: int, **options: object) -> DataFrame:
+    """Reads of a BAM file that overlap the closed range; only the index's blocks for it are opened."""
+    reads = spark.read.format("bam").options(region=f"{chrom}:{lo}-{hi}", **options).load(path)
+    return reads.where((F.col("chr") == chrom) & (F.col("pos") <= hi) & (F.col("end_pos") >= lo))
 
-    def schema(self) -> str:
-        return "chr string, lo long, hi long, value double"
 
-    def reader(self, schema):
-        return BigWigReader(self.path, int(self.options.get("per_task", 2000)))
+def values_in(spark: SparkSession, path: str, chrom: str, lo: int, hi: int, **options: object) -> DataFrame:
+    """Intervals of a bigWig file that overlap the closed range."""
+    track = spark.read.format("bigwig").options(region=f"{chrom}:{lo}-{hi}", **options).load(path)
+    return track.where((F.col("chr") == chrom) & (F.col("lo") <= hi) & (F.col("hi") >= lo))
 
 
-def register_all(spark) -> None:
-    for source in (BamSource, TwoBitSource, BigWigSource):
-        spark.dataSource.register(source)
+def chunks_in(spark: SparkSession, path: str, chrom: str, start: int, end: int, *, chunk: int = 1 << 16, **options: object) -> DataFrame:
+    """Chunks of a 2bit file that hold 0-based positions start to end - 1."""
+    first = max(start // chunk * chunk, 0)
+    genome = spark.read.format("twobit").options(region=f"{chrom}:{first}-{end - 1}", chunk=chunk, **options).load(path)
+    return genome.where((F.col("chr") == chrom) & (F.col("chunk_start") > start - chunk) & (F.col("chunk_start") < end))
