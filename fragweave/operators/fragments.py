@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fragweave.functions import basekernel as K
+from fragweave.functions import reads as R
 from fragweave.functions import sequence as S
 from fragweave.functions.numeric import pearson_from_sums
 from fragweave.operators import skew
@@ -152,3 +158,123 @@ def fragment_digits(fragments: DataFrame, key: list[str], ref: str, bases: str,
     digits = F.transform(states, lambda s: F.when(s == 1, "2").when(s == 0, "3").otherwise("1"))
     return fragments.select(*key, S.base_digits(ref, width).alias("ref_digits"), S.base_digits(bases, width).alias("base_digits"),
                             F.rpad(F.array_join(digits, ""), width, "0").alias("methy_digits"))
+
+
+def fragment_extents(reads: DataFrame, name: list[str]) -> DataFrame:
+    """First and last reference position of every fragment and the number of its records.
+
+    Both mates and what each record says of its mate count: the mate's start, and its end by the MC
+    tag (matches and insertions advance), or as long as the read itself where the tag is missing. A
+    mate without a place does not count. Four numbers a fragment are combined before they shuffle.
+    """
+    placed = F.col("mate_pos") > 0
+    mate_end = F.coalesce(R.mate_end(F.col("mc"), F.col("mate_pos")), F.length("bases") + F.col("mate_pos") - 1)
+    lo = F.when(placed, F.least("pos", "mate_pos")).otherwise(F.col("pos"))
+    hi = F.when(placed, F.greatest("end_pos", mate_end)).otherwise(F.col("end_pos"))
+    return reads.groupBy(*name).agg(F.min(lo).cast("int").alias("lo"), F.max(hi).cast("int").alias("hi"), F.count(F.lit(1)).alias("n_records"))
+
+
+def fragment_kmers(seqs: DataFrame, key: list[str], seq: str, first: int, last: int, *, reverse: str | None = None) -> DataFrame:
+    """K-mers of each sequence in long form: key, kmer, n, freq (percentage of the windows of that length).
+
+    ``reverse`` names a boolean column: such rows are read as reverse complements. Windows over other
+    letters than A, C, G, T count as windows and are no k-mer. A null or short sequence has no rows.
+    Sequences are counted where they stand; nothing is shuffled.
+    """
+    turned = F.coalesce(F.col(reverse), F.lit(False)) if reverse else F.lit(False)
+    source = seqs.select(*key, F.col(seq).alias("_seq"), turned.alias("_turn"))
+    n_key = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                for found in K.kmer_counts(K.flat(batch.column(n_key)), np.asarray(batch.column(n_key + 1)), first, last):
+                    row = pa.array(found.row)
+                    freq = 100.0 * found.n / np.maximum(found.windows, 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[c.take(row) for c in batch.columns[:n_key]], found.kmer, pa.array(found.n.astype(np.int64)), pa.array(freq)], names=names)
+
+    names = [*key, "kmer", "n", "freq"]
+    types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in key) + ", kmer string, n bigint, freq double")
+
+
+def fragment_kmer_maps(seqs: DataFrame, key: list[str], seq: str, first: int, last: int, *, reverse: str | None = None,
+                       selected: list[str] | None = None) -> DataFrame:
+    """One row a key with ``frag_kmers``, the percentages of its k-mers by name; with ``selected`` a column for each of those, 0.0 where absent."""
+    found = fragment_kmers(seqs, key, seq, first, last, reverse=reverse)
+    if selected is not None:
+        found = found.where(F.col("kmer").isin(*selected)) if selected else found.where(F.lit(False))
+    maps = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("frag_kmers"))  # at most 4^last entries
+    if selected is None:
+        return maps
+    return maps.select(*key, *[F.coalesce(F.try_element_at("frag_kmers", F.lit(k)), F.lit(0.0)).alias(f"frag_{k}") for k in selected])
+
+
+MATE_COLUMNS = ("start", "cigar", "ref", "bases", "quals")
+
+
+def merge_gapped_mates(pairs: DataFrame, keep: list[str], *, gap_extra: int = 2) -> DataFrame:
+    """Consensus of both mates of every pair, laid out by reference position.
+
+    ``pairs`` has start1, cigar1, ref1, bases1, quals1 of the mate that begins first, the same with 2
+    for the other, and first_is_left. ``ref`` holds a letter for every read base (a dash under an
+    inserted one, 0 under a clipped one). Returns ``keep``, ref, bases and quals; a pair with any part
+    missing gives nulls.
+    """
+    parts = [f"{c}{k}" for k in (1, 2) for c in MATE_COLUMNS]
+    cast = [F.col(c).cast("bigint") if c.startswith("start") else F.col(c).cast("array<int>") if c.startswith("quals") else F.col(c) for c in parts]
+    source = pairs.select(*keep, *[x.alias(f"_{c}") for x, c in zip(cast, parts, strict=True)], F.col("first_is_left").alias("_left"))
+    n_keep = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                own = batch.columns[n_keep:]
+                skip = np.any([np.asarray(c.is_null()) for c in own], axis=0)
+                starts = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in (own[0], own[5])]
+                left = K.mate(starts[0], *own[1:5], skip)
+                right = K.mate(starts[1], *own[6:10], skip)
+                merged = K.merge_mates(left, right, starts[1], own[10].fill_null(True).to_numpy(zero_copy_only=False), gap_extra)
+                gone = pa.array(skip)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:n_keep], *[pa.compute.if_else(gone, pa.scalar(None, c.type), c) for c in merged]], names=[*keep, "ref", "bases", "quals"])
+
+    types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", ref string, bases string, quals array<int>")
+
+
+def pair_reasons(reads: DataFrame, name: list[str], *, good: Column, max_len: int = 500) -> DataFrame:
+    """Why each fragment is left out, or ``kept``: records, flags, orientation, too_long, lengths_differ, in this order.
+
+    ``good`` tells whether a record passes its own filters. Only the ends, strands and lengths of the
+    two records are combined, before any read is shuffled, so fragments that fail never meet.
+    """
+    f = F.col("flag")
+    end = F.struct(F.col("pos").alias("s"), R.has(f, R.SECOND).alias("second"), F.col("end_pos").alias("e"), R.has(f, R.REVERSE).alias("neg"))
+    size = F.abs("insert_size")
+    t = reads.groupBy(*name).agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_and(F.coalesce(good, F.lit(False))).alias("_good"), F.min(end).alias("_a"), F.max(end).alias("_b"),
+        F.min(size).alias("_least"), F.max(size).alias("_most"))
+    a, b = F.col("_a"), F.col("_b")
+    facing = R.pair_is_facing(a["neg"], a["second"], a["s"], a["e"], b["neg"], b["second"], b["s"], b["e"])
+    reason = (F.when(F.col("_n") != 2, "records").when(~F.col("_good"), "flags").when(~F.coalesce(facing, F.lit(False)), "orientation")
+              .when(F.col("_most") > max_len, "too_long").when(F.col("_least") != F.col("_most"), "lengths_differ").otherwise("kept"))
+    return t.select(*name, reason.alias("reason"))
+
+
+def strand_context(rows: DataFrame, genome: DataFrame, k: int, name: str = "context", *, strand: str = "strand", turn: bool = True,
+                   chunk: int = 1 << 16) -> DataFrame:
+    """Add the 2k + 2 reference bases around each site (chr, end_): k before the CpG, the CpG, k after it.
+
+    A site on the minus strand is the G, so its window begins one base earlier; it is read as the
+    reverse complement unless ``turn`` is off. One look-up by chunk serves both strands. Bases
+    outside the contig are missing.
+    """
+    from fragweave.sources.text import genome_lookup
+
+    minus = F.col(strand) == "-"
+    out = genome_lookup(rows, genome, "chr", F.col("end_") - 1 - k - minus.cast("int"), 2 * k + 2, name, chunk=chunk)
+    return out.withColumn(name, F.when(minus, S.reverse_complement(name)).otherwise(F.upper(name)) if turn else F.upper(name))

@@ -104,6 +104,31 @@ def read_mates(spark: SparkSession, sf: str) -> DataFrame:
         q("ref1", 7, 0).alias("quals1"), q("ref2", 11, 3).alias("quals2"))
 
 
+def gapped_mates(spark: SparkSession, sf: str) -> DataFrame:
+    """The mates of every tile with deletions, insertions or soft clips, by turns, and the reference letter under each base."""
+    t = read_mates(spark, sf)
+
+    def gapped(ref: Column, bases: Column, kind: Column, at: int) -> tuple[Column, Column, Column]:
+        n = F.length(ref)
+        kind = F.when(n < at + 10, F.lit(0)).otherwise(kind)
+        cut = lambda s, a, b: F.substring(s, F.lit(a), b) if not isinstance(b, int) else F.substring(s, F.lit(a), F.lit(b))
+        pick = lambda plain, deleted, inserted, clipped: F.when(kind == 1, deleted).when(kind == 2, inserted).when(kind == 3, clipped).otherwise(plain)
+        head = lambda s: cut(s, 1, at)
+        new_ref = pick(ref, F.concat(head(ref), cut(ref, at + 4, n)), F.concat(head(ref), F.lit("--"), cut(ref, at + 1, n)), F.concat(F.lit("00"), ref))
+        new_bases = pick(bases, F.concat(head(bases), cut(bases, at + 4, n)), F.concat(head(bases), F.lit("AC"), cut(bases, at + 1, n)), F.concat(F.lit("GG"), bases))
+        whole = F.concat(n.cast("string"), F.lit("M"))
+        cigar = pick(whole, F.concat(F.lit(f"{at}M3D"), (n - at - 3).cast("string"), F.lit("M")), F.concat(F.lit(f"{at}M2I"), (n - at).cast("string"), F.lit("M")),
+                     F.concat(F.lit("2S"), whole))
+        return new_ref, new_bases, cigar
+
+    ref1, bases1, cigar1 = gapped(F.col("ref1"), F.col("bases1"), F.col("k") % 4, 20)
+    ref2, bases2, cigar2 = gapped(F.col("ref2"), F.col("bases2"), F.floor(F.col("k") / 4) % 4, 15)
+    q = lambda s, a, b: F.transform(F.sequence(F.lit(0), F.length(s) - 1), lambda j: ((j * a + F.col("k") + b) % 41).cast("int"))
+    t = t.select("doc_id", "i", "k", "first_is_left", F.lit(0).alias("start1"), "start2", ref1.alias("ref1"), bases1.alias("bases1"), cigar1.alias("cigar1"),
+                 ref2.alias("ref2"), bases2.alias("bases2"), cigar2.alias("cigar2"))
+    return t.select("*", q("ref1", 7, 0).alias("quals1"), q("ref2", 11, 3).alias("quals2"))
+
+
 def alignments(spark: SparkSession, sf: str) -> DataFrame:
     """Alignment records from lineitem: flags, positions, CIGAR strings."""
     return table(spark, sf, "lineitem").selectExpr(

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("matrix", "sequence", "model")
+_MODULES = ("matrix", "sequence", "fragment", "model")
 _HELPERS = {"valid", "scored", "sequences_of"}
 
 
