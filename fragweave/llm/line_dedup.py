@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-A line of ``min_chars`` or more is dropped when a line within ``edits`` edits stands earlier, in the
-order of doc_id and line number; of equal lines the first stays. Lines are cut into edits + 1 segments,
+A line is dropped when an equal one stands earlier, in the order of doc_id and line number, whatever
+its length; a line of ``min_chars`` or more also when one within ``edits`` edits does. Lines of white
+space alone stay. For the edits, lines are cut into edits + 1 segments,
 one of which a similar line must hold unchanged, at a place that the lengths and the segment's number
 narrow to a few. Segments of each length form the index; the few substrings of other lines probe it.
 What meets is sifted by letter counts, which an edit changes little, and verified with a banded bit-parallel edit distance. All of it is column expressions.
@@ -132,10 +133,10 @@ def _id() -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text"))
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(id, at, line, h1, h2) of the lines that take part; h1 and h2 are 128 bits of digest."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(id, at, line, h1, h2) of the lines that hold more than white space; h1 and h2 are 128 bits of digest."""
     lines = docs.select(_id().alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def _code(at: Column, h1: Column) -> Column:
@@ -149,7 +150,7 @@ def _bucket(of: Column) -> Column:
 
 def duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """(id, code) of every line to drop."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs)
     seen = written(lines.select("h1", "h2", "id", "at"), "lines")
     firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("times"))
     again = written(firsts.where("times > 1").select(F.struct("h1", "h2").alias("digest"), "first", "times"), "repeated-lines")
@@ -158,27 +159,27 @@ def duplicates(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
 
     # every different line once, where it stands first; most occur once, and a fixed-size filter tells them apart
     repeated = F.broadcast(again.select(_bucket(F.col("digest.h1"))).distinct())  # at most BUCKETS rows
-    marked = lines.withColumn("_bucket", _bucket(F.col("h1")))
+    marked = lines.where(F.length("line") >= min_chars).withColumn("_bucket", _bucket(F.col("h1")))
     place = again.select("digest.*", "first.*")
     columns = ("id", "at", "h1", "line", letter_counts(F.col("line")).alias("letters"))
     distinct = marked.join(repeated, "_bucket", "left_anti").select(*columns).unionByName(
         marked.join(repeated, "_bucket", "left_semi").join(place.hint("merge"), ["h1", "h2", "id", "at"], "left_semi").select(*columns))
-    distinct = written(distinct, "distinct-lines")
-    index = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), F.col("id").alias("id_x"), F.col("at").alias("at_x"), F.col("letters").alias("letters_x"))
-    probe = distinct.select(F.posexplode(probe_keys(F.col("line"), edits, min_chars)).alias("nth", "key"), F.col("id").alias("id_y"), F.col("at").alias("at_y"), F.col("letters").alias("letters_y"))
-    x, y = F.struct(F.col("id_x").alias("id"), F.col("at_x").alias("at")), F.struct(F.col("id_y").alias("id"), F.col("at_y").alias("at"))
+    # a number for each line: what is dealt out by key stays three numbers wide
+    distinct = written(distinct.withColumn("x", F.monotonically_increasing_id()), "distinct-lines")
+    index = distinct.select(F.explode(index_keys(F.col("line"), edits)).alias("key"), "x", F.col("letters").alias("letters_x"))
+    probe = distinct.select(F.posexplode(probe_keys(F.col("line"), edits, min_chars)).alias("nth", "key"), F.col("x").alias("y"), F.col("letters").alias("letters_y"))
     # equally long lines probe each other: one of the two meetings is enough, and none with the line itself
-    once = (F.col("nth") >= same_length_probes(edits)) | (x < y)
+    once = (F.col("nth") >= same_length_probes(edits)) | (F.col("x") < F.col("y"))
     met = index.join(probe.where("key is not null").hint("merge"), "key").where(once).where(may_be_near(F.col("letters_x"), F.col("letters_y"), edits))
-    pairs = written(met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).select("a.*", F.col("b.id").alias("id_b"), F.col("b.at").alias("at_b")).distinct(), "line-pairs")
-
-    refs = pairs.select("id", "at").unionByName(pairs.select(F.col("id_b").alias("id"), F.col("at_b").alias("at"))).distinct()
-    near_docs = F.broadcast(refs.select(_bucket(F.xxhash64("id"))).distinct())  # at most BUCKETS rows
-    wanted = distinct.withColumn("_bucket", _bucket(F.xxhash64("id"))).join(near_docs, "_bucket", "left_semi").join(refs.hint("merge"), ["id", "at"], "left_semi").select("id", "at", "h1", "line")
-    wanted = written(wanted, "pair-lines")
-    b = wanted.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("h1").alias("h1_b"), F.col("line").alias("line_b"))
-    both = pairs.join(wanted.drop("h1").hint("merge"), ["id", "at"]).join(b.hint("merge"), ["id_b", "at_b"])
-    near = both.where(within(F.col("line"), F.col("line_b"), edits)).select(F.col("id_b").alias("id"), _code(F.col("at_b"), F.col("h1_b")).alias("code"))
+    pairs = written(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-pairs")
+
+    refs = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
+    some = F.broadcast(refs.select(_bucket(F.xxhash64("x"))).distinct())  # at most BUCKETS rows
+    wanted = distinct.withColumn("_bucket", _bucket(F.xxhash64("x"))).join(some, "_bucket", "left_semi").join(refs.hint("merge"), "x", "left_semi")
+    wanted = written(wanted.select("x", "line", F.struct("id", "at", "h1").alias("place")), "pair-lines")
+    other = wanted.select(F.col("x").alias("y"), F.col("line").alias("line_y"), F.col("place").alias("place_y"))
+    near = pairs.join(wanted.hint("merge"), "x").join(other.hint("merge"), "y").where(within(F.col("line"), F.col("line_y"), edits))
+    near = near.select(F.greatest("place", "place_y").alias("later")).select("later.id", _code(F.col("later.at"), F.col("later.h1")).alias("code"))
     return exact.unionByName(near).distinct()
 
 
@@ -186,7 +187,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     """All columns of ``docs`` with the shortened text, and n_lines and n_dropped in place of any such.
 
     Every row stays, with the lines that are left joined again; null texts stay null and have no
-    lines, shorter lines and empty ones always stay. A null doc_id counts as the last; different texts
+    lines, and lines of white space alone stay. A null doc_id counts as the last; different texts
     that share a doc_id or have none follow each other by a digest of the text. Rows that share a doc_id
     and a text are one document and get the same result.
     """
