@@ -162,28 +162,29 @@ class Tokenizer:
         self.ready = False
 
     def __getstate__(self):
-        return self.__dict__ | {"words": None, "chunks": None, "ready": False, "split": None, "cut": None}
+        return self.__dict__ | {"words": None, "chunks": None, "labels": None, "ready": False, "split": None, "cut": None}
 
     def _prepare(self) -> None:
         self.symbols = byte_symbols()
+        self.labels = {str(i): t for i, t in enumerate(self.automaton.label)} | {str(i): t for t, i in self.special.items()}
         self.words, self.chunks = Memo(MEMO_WORDS), Memo(MEMO_CHUNKS)
         self.split = regex.compile(self.pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.ready = True
 
-    def _word(self, word: str) -> tuple[int, str, str]:
+    def _word(self, word: str) -> tuple[int, str]:
         got = self.words.old.get(word)
         if got is None:
             ids = self.automaton.encode("".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
-            got = (len(ids), " ".join(map(str, ids)), " ".join([self.automaton.label[i] for i in ids]))
+            got = (len(ids), " ".join(map(str, ids)))
         return self.words.put(word, got)
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+    def _chunk(self, chunk: str) -> tuple[int, str]:
         """Encode what stands between two spaces, which may be several words or none."""
         got = self.chunks.old.get(chunk)
         if got is None:
             got = [self.words.young.get(w) or self._word(w) for w in self.split(chunk)]
-            got = got[0] if len(got) == 1 else (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+            got = got[0] if len(got) == 1 else (sum([g[0] for g in got]), " ".join([g[1] for g in got]))
         return self.chunks.put(chunk, got)
 
     @staticmethod
@@ -191,25 +192,25 @@ class Tokenizer:
         """Composed and lower-cased letter by letter (no special final sigma)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, ids joined by spaces, and their labels joined by spaces (the decoded text)."""
+    def encode(self, text: str) -> tuple[int, str]:
+        """Number of tokens and ids joined by spaces."""
         if not self.ready:
             self._prepare()
         found = []
         pieces = self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
         for piece in pieces:
             if piece in self.special:
-                found.append((1, str(self.special[piece]), piece))
+                found.append((1, str(self.special[piece])))
             else:
                 found += [self.chunks.young.get(w) or self._chunk(w) for w in self.normal(piece).replace("\n", " ").split(" ") if w]
         found = [f for f in found if f[0]]
-        return sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+        return sum([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def decode(self, ids: str) -> str:
         """Labels of the arcs, joined by spaces; special tokens are kept."""
-        names = {i: t for t, i in self.special.items()}
-        label = self.automaton.label
-        return " ".join(names.get(i) or label[i] for i in map(int, ids.split()))
+        if not self.ready:
+            self._prepare()
+        return " ".join([self.labels[i] for i in ids.split()])
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), full: bool = True) -> DataFrame:
@@ -230,7 +231,8 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep: t
                 part = batch.slice(lo, 500)
                 counts, ids, decoded = [], [], []
                 for text in part.column(n_keep):
-                    n, i, d = enc.encode(text.as_py() or "")
+                    n, i = enc.encode(text.as_py() or "")
+                    d = enc.decode(i)
                     counts.append(n)
                     ids.append(np.fromstring(i, np.int32, sep=" ") if full else digest(i))
                     decoded.append(d if full else digest(d))
