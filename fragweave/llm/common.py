@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -39,10 +40,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files whose plans nothing holds any more; it does when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; it survives the loss of any executor."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
+    _let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
