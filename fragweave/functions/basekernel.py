@@ -185,7 +185,6 @@ def merge_mates(left: Mate, right: Mate, right_start: np.ndarray, first_is_left:
     np.maximum.at(high, row[shared], across[shared])
     meet = high >= 0
     gap = np.where(meet, 0, np.maximum(right_start - left.end - 1 + gap_extra, 0))
-    gap[lead_n + other_n == 0] = 0
     head_n = np.where(first_is_left, 0, np.where(meet, low - other, other_n))
     tail_at = np.where(meet, high + 1, other)
     tail_n = np.where(first_is_left, other + other_n - tail_at, 0)

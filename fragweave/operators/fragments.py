@@ -234,7 +234,7 @@ def merge_gapped_mates(pairs: DataFrame, keep: list[str], *, gap_extra: int = 2)
                 batch = whole.slice(lo, 2000)
                 own = batch.columns[n_keep:]
                 skip = np.any([np.asarray(c.is_null()) for c in own], axis=0)
-                starts = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in (own[0], own[5])]
+                starts = [np.where(skip, 0, c.fill_null(0).to_numpy(zero_copy_only=False)) for c in (own[0], own[5])]
                 left = K.mate(starts[0], *own[1:5], skip)
                 right = K.mate(starts[1], *own[6:10], skip)
                 merged = K.merge_mates(left, right, starts[1], own[10].fill_null(True).to_numpy(zero_copy_only=False), gap_extra)

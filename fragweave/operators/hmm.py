@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ ROC_THRESHOLDS = [-1.0, -0.999, -0.99, -0.95, -0.9, -0.8, -0.7, -0.5, -0.1, 0.0,
 SLOTS = "slot int, value double"
 
 
+class NotFinite(ValueError):
+    """A pass over the data gave infinite or undefined sums: the model has run away from it."""
+
+
 @dataclass(frozen=True)
 class Emission:
     """Per feature a mixture of normals: ``mean[f][c]``, ``var[f][c]``, ``prop[f][c]``."""
@@ -282,7 +287,7 @@ def _sum_slots(seqs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Itera
     stats = layout.unpack(rows)
     for name, v in stats.items():
         if not np.isfinite(v).all():
-            raise ValueError(f"model pass produced non-finite sums in {name!r}")
+            raise NotFinite(f"model pass produced non-finite sums in {name!r}")
     return stats
 
 
@@ -364,41 +369,97 @@ class Training:
     model: Model
     distances: list[float]
     log_likelihood: list[float]
+    restarts: int = 0
+
+
+@dataclass
+class Progress:
+    """Where a training stands: everything the next step needs."""
+
+    model: Model
+    previous: Model | None = None
+    step: int = 0
+    restarts: int = 0
+    before: float | None = None
+    distances: list[float] = field(default_factory=list)
+    likes: list[float] = field(default_factory=list)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One committed folder a step; a step that was cut off leaves none."""
+        rows = [(f"now.{k}", r, i, j, v) for k, r, i, j, v in self.model.to_rows()]
+        rows += [(f"before.{k}", r, i, j, v) for k, r, i, j, v in self.previous.to_rows()] if self.previous else []
+        rows += [(name, k, 0, 0, v) for name, values in (("distance", self.distances), ("like", self.likes)) for k, v in enumerate(values)]
+        rows += [("restarts", 0, 0, 0, float(self.restarts))] + ([("last", 0, 0, 0, self.before)] if self.before is not None else [])
+        spark.createDataFrame(rows, "kind string, r int, i int, j int, value double").coalesce(1).write.mode("overwrite").parquet(f"{path}/step={self.step}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Progress | None:
+        """The furthest step written below ``path``; None if there is none."""
+        try:
+            steps = spark.read.parquet(path)
+        except AnalysisException:
+            return None
+        step = steps.agg(F.max("step")).first()[0]
+        rows = [tuple(r) for r in steps.where(F.col("step") == step).select("kind", "r", "i", "j", "value").collect()]  # bounded by the distance range
+        part = lambda head: [(k.removeprefix(head), *rest) for k, *rest in rows if k.startswith(head)]
+        series = lambda name: [v for _, v in sorted((r, v) for k, r, _, _, v in rows if k == name)]
+        before = part("before.")
+        return Progress(Model.from_rows(part("now.")), Model.from_rows(before) if before else None, int(step), int(series("restarts")[0]),
+                        next(iter(series("last")), None), series("distance"), series("like"))
 
 
 def train(seqs: DataFrame, init: Model, features: list[str] = FEATURES, *, max_iter: int = 50, tol: float = 1e-4, decay: float = 0.01,
-          kl_min_len: int = 10, share_a: bool = True, reset_all_pi: bool = False, keep: bool = True) -> Training:
+          kl_min_len: int = 10, share_a: bool = True, reset_all_pi: bool = False, keep: bool = True,
+          restart: Callable[[int], Model] | None = None, state_path: str | None = None) -> Training:
     """Expectation-maximisation; stops when the distance between successive models settles.
 
     The distance of step k is measured in the scan of step k + 1, so each step reads the data
     once. With ``share_a`` both models are compared under the new transitions, so that only
     emissions and initial states count. ``seqs`` needs at least two points per fragment.
+
+    When sums or the distance are not finite, ``restart(1)``, ``restart(2)`` ... give the models to go
+    on with (a seeded start each, so that reruns agree); steps spent so far stay spent. Without it
+    that is an error. With ``state_path`` each step is written there, and a training begun there goes on
+    from its last step, whatever became of its driver.
     """
     data = durable(seqs.select("dist", "prior", *features), "fragments") if keep else seqs
-    model, previous = init, None
-    distances: list[float] = []
-    likes: list[float] = []
-    before: float | None = None
-    for k in range(max_iter + 1):
-        stats = e_step(data, model, features, previous, kl_min_len)
-        if stats["misc"][2] == 0:
-            raise ValueError("no fragment is long enough to train on")
-        likes.append(float(stats["misc"][3]))
-        if previous is not None:
-            if stats["misc"][1] == 0:
+    spark = data.sparkSession
+    at = (Progress.load(spark, state_path) if state_path else None) or Progress(init)
+    while True:
+        try:
+            stats = e_step(data, at.model, features, at.previous, kl_min_len)
+            if stats["misc"][2] == 0:
+                raise ValueError("no fragment is long enough to train on")
+            if at.previous is not None and stats["misc"][1] == 0:
                 raise ValueError(f"no fragment has {kl_min_len} points, so model distances are undefined")
-            d = float(stats["misc"][0] / stats["misc"][1])
-            distances.append(d)
-            rel = abs((abs(d) - abs(before)) / before) if before else math.inf  # the first distance has none to be compared with
-            before = d
-            if rel < decay or abs(d) < tol:
+            settled = at.previous is not None and _settles(at, stats, tol, decay)
+            at.likes.append(float(stats["misc"][3]))
+            if settled or at.step >= max_iter:
+                break
+            new = m_step(at.model, stats, reset_all_pi=reset_all_pi)
+            at.previous, at.model = replace(at.model, a=new.a) if share_a else at.model, new
+        except NotFinite:
+            if restart is None:
+                raise
+            if at.step >= max_iter:
                 break
-        if k == max_iter:
-            break
-        new = m_step(model, stats, reset_all_pi=reset_all_pi)
-        previous = replace(model, a=new.a) if share_a else model
-        model = new
-    return Training(replace(model, methylated=methylated_state(model)), distances, likes)
+            at.restarts += 1
+            at.model, at.previous, at.before = restart(at.restarts), None, None
+        at.step += 1
+        if state_path:
+            at.save(spark, state_path)
+    return Training(replace(at.model, methylated=methylated_state(at.model)), at.distances, at.likes, at.restarts)
+
+
+def _settles(at: Progress, stats: dict[str, np.ndarray], tol: float, decay: float) -> bool:
+    """Note the distance between the last two models; whether it is small, or hardly differs from the one before."""
+    d = float(stats["misc"][0] / stats["misc"][1])
+    if not math.isfinite(d):
+        raise NotFinite("the distance between successive models is not finite")
+    at.distances.append(d)
+    rel = abs((abs(d) - abs(at.before)) / at.before) if at.before else math.inf  # the first distance has none to be compared with
+    at.before = d
+    return rel < decay or abs(d) < tol
 
 
 # --- initial models ---------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions import sequence as S
@@ -164,6 +164,41 @@ def position_tensor(windows: DataFrame, bases: DataFrame, frags: DataFrame, cpg:
                     vec.alias("vectors"))
 
 
+def number_windows(windows: DataFrame, *, stretch: int = 1 << 20) -> DataFrame:
+    """Distinct windows with their number and the number of their first position row, both by (chr, start_, end_).
+
+    Counts and lengths are added up inside stretches of a contig, then over the stretches of a
+    contig, then over contigs, so no contig's windows meet in one task and reruns agree.
+    """
+    n, size = F.lit(1).cast("long"), (F.col("end_") - F.col("start_")).cast("long")
+    t = windows.select("chr", "start_", "end_").distinct().withColumns({"_z": F.floor(F.col("start_") / stretch), "_n": n, "_s": size})
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    above = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
+    inside = before(["chr", "_z"], ["start_", "end_"])
+    t = t.select("chr", "start_", "end_", "_z", above("_n", inside).alias("_n0"), above("_s", inside).alias("_s0"), "_n", "_s")
+    zones = t.groupBy("chr", "_z").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    in_contig = before(["chr"], ["_z"])
+    contigs = zones.groupBy("chr").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    over = before([], ["chr"])  # one small row a contig
+    contigs = contigs.select("chr", above("_n", over).alias("_n2"), above("_s", over).alias("_s2"))
+    zones = zones.select("chr", "_z", above("_n", in_contig).alias("_n1"), above("_s", in_contig).alias("_s1")).join(contigs, "chr")
+    return t.join(zones, ["chr", "_z"]).select(
+        (F.col("_n0") + F.col("_n1") + F.col("_n2")).alias("window"), "chr", "start_", "end_", (F.col("_s0") + F.col("_s1") + F.col("_s2")).alias("first_row"))
+
+
+def window_tensor(numbered: DataFrame, bases: DataFrame, frags: DataFrame, cpg: DataFrame, *, max_cov: int = 20,
+                  max_frag_len: int = 500) -> DataFrame:
+    """``position_tensor`` with its windows: one row for each position of each numbered window, however they overlap.
+
+    ``row`` numbers the positions of all windows one after the other. Vectors are worked out once a
+    position and attached to every window over it. A position without a base has no row.
+    """
+    t = position_tensor(numbered, bases, frags, cpg, max_cov=max_cov, max_frag_len=max_frag_len)
+    spots = numbered.select("window", "chr", "first_row", "start_", F.explode(F.sequence(F.col("start_") + 1, F.col("end_"))).alias("pos"))
+    spots = spots.select("window", (F.col("first_row") + F.col("pos") - F.col("start_") - 1).alias("row"), "chr", "pos")
+    return spots.join(t, ["chr", "pos"]).select("row", "window", "chr", "pos", "base", "methy", "n_plus", "n_minus", "vectors")
+
+
 def strand_depth(pos: DataFrame, frags: DataFrame) -> DataFrame:
     """Number of distinct fragments of each strand over every position, by running sums in bins."""
     from fragweave.operators.tracks import window_record_stats

@@ -53,6 +53,16 @@ def pearson(n, sx, sy, sxx, syy, sxy) -> str:
             f"({n} * {sxy} - {sx} * {sy}) / (sqrt({n} * {sxx} - {sx} * {sx}) * sqrt({n} * {syy} - {sy} * {sy})) end")
 
 
+#: Position vectors of the tensor queries, worked out once a position.
+TENSOR = "with " + ctes("matrix", "regions") + """, p as (select distinct r_chr as chr, unnest(range(r_lo + 1, r_lo + r_size + 1)) as pos from regions),
+  f as (select chr, start_ + dist_end as fs, start_ + dist_end + frag_len as fe, max(strand) as strand from matrix where frag_len <= 400 group by all),
+  d as (select p.chr, pos, count(*) filter (where strand = '+') as np, count(*) filter (where strand = '-') as nm from p join f on f.chr = p.chr and fs + 1 <= pos and fe >= pos group by all),
+  c as (select chr, end_ as pos, max(prior) as methy from matrix group by all),
+  t as (select p.chr, p.pos, substring('ACGTN', p.pos * 7 % 5 + 1, 1) as base, coalesce(methy, 0) as methy, cast(least(coalesce(np, 0), 12) as int) as a,
+   cast(least(coalesce(nm, 0), 12 - least(coalesce(np, 0), 12)) as int) as b from p left join d on d.chr = p.chr and d.pos = p.pos left join c on c.chr = p.chr and c.pos = p.pos),
+  v as (select *, case base when 'A' then '1.00,0.00,0.00,0.00' when 'T' then '0.00,1.00,0.00,0.00' when 'C' then '0.00,0.00,1.00,0.00' when 'G' then '0.00,0.00,0.00,1.00' else '0.25,0.25,0.25,0.25' end as fw,
+   case base when 'T' then '1.00,0.00,0.00,0.00' when 'A' then '0.00,1.00,0.00,0.00' when 'G' then '0.00,0.00,1.00,0.00' when 'C' then '0.00,0.00,0.00,1.00' else '0.25,0.25,0.25,0.25' end as rv from t)"""
+
 ORACLE = {
     "locus_methylation": BASE + """ select chr, start_, end_, count(*) filter (where methy_stat = 'm') as n_m, count(*) as n,
   100.0::double * count(*) filter (where methy_stat = 'm') / count(*) as methy_perc from valid group by all""",
@@ -214,16 +224,13 @@ ORACLE = {
     + " from own join w using (read_name)",
     "fragments_near_sites": "with " + ctes("alignments") + ", " + SITES + """ select concat(read_name, '/', line, '/', partkey) as id, chr, pos, pos + 3 as pos_end, mate_pos, mate_pos + 3 as mate_end
   from alignments a where exists (select 1 from sites s where s.chr = a.chr and ((pos <= s.end_ and pos + 3 >= s.start_ + 1) or (mate_pos <= s.end_ and mate_pos + 3 >= s.start_ + 1)))""",
-    "position_tensor": "with " + ctes("matrix", "regions") + """, p as (select distinct r_chr as chr, unnest(range(r_lo + 1, r_lo + r_size + 1)) as pos from regions),
-  f as (select chr, start_ + dist_end as fs, start_ + dist_end + frag_len as fe, max(strand) as strand from matrix where frag_len <= 400 group by all),
-  d as (select p.chr, pos, count(*) filter (where strand = '+') as np, count(*) filter (where strand = '-') as nm from p join f on f.chr = p.chr and fs + 1 <= pos and fe >= pos group by all),
-  c as (select chr, end_ as pos, max(prior) as methy from matrix group by all),
-  t as (select p.chr, p.pos, substring('ACGTN', p.pos * 7 % 5 + 1, 1) as base, coalesce(methy, 0) as methy, cast(least(coalesce(np, 0), 12) as int) as a,
-   cast(least(coalesce(nm, 0), 12 - least(coalesce(np, 0), 12)) as int) as b from p left join d on d.chr = p.chr and d.pos = p.pos left join c on c.chr = p.chr and c.pos = p.pos),
-  v as (select *, case base when 'A' then '1.00,0.00,0.00,0.00' when 'T' then '0.00,1.00,0.00,0.00' when 'C' then '0.00,0.00,1.00,0.00' when 'G' then '0.00,0.00,0.00,1.00' else '0.25,0.25,0.25,0.25' end as fw,
-   case base when 'T' then '1.00,0.00,0.00,0.00' when 'A' then '0.00,1.00,0.00,0.00' when 'G' then '0.00,0.00,1.00,0.00' when 'C' then '0.00,0.00,0.00,1.00' else '0.25,0.25,0.25,0.25' end as rv from t)
-  select chr, cast(pos as int) as pos, base, methy, a as n_plus, b as n_minus,
+    "position_tensor": TENSOR + """  select chr, cast(pos as int) as pos, base, methy, a as n_plus, b as n_minus,
    rtrim(repeat(fw || ',', a) || repeat(rv || ',', b) || repeat('0.00,0.00,0.00,0.00,', 12 - a - b), ',') as vectors from v""",
+    "window_tensor": TENSOR + """, u as (select distinct r_chr as chr, r_lo as s, r_lo + r_size as e from regions),
+  o as (select *, row_number() over (order by chr, s, e) - 1 as w, coalesce(sum(e - s) over (order by chr, s, e rows between unbounded preceding and 1 preceding), 0) as first_row from u),
+  x as (select *, unnest(range(s + 1, e + 1)) as spot from o)
+  select cast(first_row + spot - s - 1 as bigint) as row, w as window, chr, cast(pos as int) as pos, base, methy, a as n_plus, b as n_minus,
+   rtrim(repeat(fw || ',', a) || repeat(rv || ',', b) || repeat('0.00,0.00,0.00,0.00,', 12 - a - b), ',') as vectors from x join v using (chr) where pos = spot""",
     "bedgraph_project": BASE + """, l as (select case when chr = 'chr22' then 'MT' else regexp_replace(chr, '^chr', '') end as chr, start_, end_, 100.0::double * count(*) filter (where methy_stat = 'm') / count(*) as methy,
    count(*) filter (where methy_stat = 'm') as m, count(*) as n from valid group by all)
   select 'methy' as track, chr, start_, end_, methy as value from l union all select 'methy_count', chr, start_, end_, cast(m as double) from l union all select 'cov', chr, start_, end_, cast(n as double) from l""",

@@ -55,6 +55,41 @@ def recursive(text: str) -> str:
 POINTS = recursive(seq(1) + decoded())
 PRED = POINTS + """, pr as (select chr, start_, end_, 100.0::double * count(*) filter (where state = 1) / count(*) as methy_perc_predict, count(*) filter (where state = 1) as methy_count_predict,
   count(*) as total_count_predict, 100.0::double * count(*) filter (where obs = 1) / count(*) as methy_perc_obs, count(*) filter (where obs = 1) as methy_count_obs, count(*) as total_count_obs from dec group by chr, start_, end_)"""
+#: Forward and backward passes, and the expected transitions of every step.
+PASSES = """,
+  fw as (select read_name, rn, len, gap, auu, amm, su, sm, (1 - pim) * su as xu, pim * sm as xm from pt where rn = 1
+   union all select b.read_name, b.rn, b.len, b.gap, b.auu, b.amm, b.su, b.sm, (w.xu * b.auu + w.xm * (1 - b.amm)) / (w.xu + w.xm) * b.su, (w.xu * (1 - b.auu) + w.xm * b.amm) / (w.xu + w.xm) * b.sm
+   from fw w join pt b on b.read_name = w.read_name and b.rn = w.rn + 1),
+  al as (select *, xu + xm as c, xu / (xu + xm) as fu, xm / (xu + xm) as fm from fw),
+  bw as (select read_name, rn, 1 / c as bu, 1 / c as bm from al where rn = len
+   union all select a.read_name, a.rn, (n.auu * n.su * w.bu + (1 - n.auu) * n.sm * w.bm) / a.c, ((1 - n.amm) * n.su * w.bu + n.amm * n.sm * w.bm) / a.c
+   from bw w join al a on a.read_name = w.read_name and a.rn = w.rn - 1 join al n on n.read_name = w.read_name and n.rn = w.rn),
+  x as (select n.read_name, n.rn, n.len, n.gap, a.gap as gap0, a.fu * n.auu * n.su * b.bu as uu, a.fu * (1 - n.auu) * n.sm * b.bm as um, a.fm * (1 - n.amm) * n.su * b.bu as mu, a.fm * n.amm * n.sm * b.bm as mm
+   from al n join al a on a.read_name = n.read_name and a.rn = n.rn - 1 join bw b on b.read_name = n.read_name and b.rn = n.rn),"""
+
+
+def mixture(x: str, mu: float, var: float) -> tuple[str, str]:
+    """Both weighted normals of ``_two_component_model`` for one feature."""
+    return f"0.6 * {pdf(x, mu - 0.5, var)}", f"0.4 * {pdf(x, mu + 0.4, var * 1.5)}"
+
+
+FEATURE = {"z_len": ((-0.5, 1.0), (0.4, 1.2)), "z_cov": ((0.2, 1.5), (-0.1, 1.0)), "z_dist": ((-0.6, 0.8), (0.7, 0.9))}
+MIX_U, MIX_M = ("exp(" + " * ".join("(" + " + ".join(mixture(x, *p[i])) + ")" for x, p in FEATURE.items()) + ")" for i in (0, 1))
+
+
+def mixture_moments() -> str:
+    """Weights, first and second moments about the old means of every component, from the state weights of every point."""
+    parts = []
+    for f, (x, p) in enumerate(FEATURE.items()):
+        for i in (0, 1):
+            both = mixture(x, *p[i])
+            for c in (0, 1):
+                mu = p[i][0] + (-0.5, 0.4)[c]
+                w = f"g{i} * ({both[c]}) / ({both[0]} + {both[1]})"
+                parts.append(f"select {f} as f, {i} as i, {c} as c, sum({w}) as w, sum({w} * ({x} - ({mu}))) as s1, sum({w} * pow({x} - ({mu}), 2)) as s2, {mu}::double as mu, sum(g{i}) as g from gp")
+    return " union all ".join(parts)
+
+
 VEC = """with v as (select vec_id, unnest(range(64)) as sample, unnest(embedding) as e from embeddings),
   c as (select vec_id, sample, abs(e::double) * (((vec_id * 7 + sample * 3) % 101) / 1000.0::double) as methylated, ((vec_id * 7 + sample * 3) % 101) / 1000.0::double as coverage from v),
   l as (select vec_id, sample, case when coverage * 1000 >= 10 then methylated / coverage end as level from c)"""
@@ -72,29 +107,33 @@ ORACLE = {
     "sequence_likelihood": POINTS + " select round(sum(lnp / len), 3) as likelihood, count(*) as n_fragments from fin",
     "roc_sweep": recursive(seq(1) + decoded("-1, -0.999, -0.99, -0.95, -0.9, -0.8, -0.7, -0.5, -0.1, 0.0::double, 0.1, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1.0")) + """ select cast(th as double) as threshold, count(*) filter (where obs = 1) as n_m, count(*) filter (where obs = 0) as n_u,
   count(*) filter (where obs = 0 and state = 1) / count(*) filter (where obs = 0) as fpr, count(*) filter (where obs = 1 and state = 1) / count(*) filter (where obs = 1) as tpr from dec group by th""",
-    "expectation_step": recursive(seq(2)) + """,
-  fw as (select read_name, rn, len, gap, auu, amm, su, sm, (1 - pim) * su as xu, pim * sm as xm from pt where rn = 1
-   union all select b.read_name, b.rn, b.len, b.gap, b.auu, b.amm, b.su, b.sm, (w.xu * b.auu + w.xm * (1 - b.amm)) / (w.xu + w.xm) * b.su, (w.xu * (1 - b.auu) + w.xm * b.amm) / (w.xu + w.xm) * b.sm
-   from fw w join pt b on b.read_name = w.read_name and b.rn = w.rn + 1),
-  al as (select *, xu + xm as c, xu / (xu + xm) as fu, xm / (xu + xm) as fm from fw),
-  bw as (select read_name, rn, 1 / c as bu, 1 / c as bm from al where rn = len
-   union all select a.read_name, a.rn, (n.auu * n.su * w.bu + (1 - n.auu) * n.sm * w.bm) / a.c, ((1 - n.amm) * n.su * w.bu + n.amm * n.sm * w.bm) / a.c
-   from bw w join al a on a.read_name = w.read_name and a.rn = w.rn - 1 join al n on n.read_name = w.read_name and n.rn = w.rn),
-  x as (select n.read_name, n.rn, n.len, n.gap, a.gap as gap0, a.fu * n.auu * n.su * b.bu as uu, a.fu * (1 - n.auu) * n.sm * b.bm as um, a.fm * (1 - n.amm) * n.su * b.bu as mu, a.fm * n.amm * n.sm * b.bm as mm
-   from al n join al a on a.read_name = n.read_name and a.rn = n.rn - 1 join bw b on b.read_name = n.read_name and b.rn = n.rn),
+    "expectation_step": recursive(seq(2)) + """""" + PASSES + """
   o as (select 'xi' as kind, gap as dist, 0 as i, 0 as j, sum(uu) as v from x group by gap union all select 'xi', gap, 0, 1, sum(um) from x group by gap
    union all select 'xi', gap, 1, 0, sum(mu) from x group by gap union all select 'xi', gap, 1, 1, sum(mm) from x group by gap
    union all select 'pi', gap0, 0, 0, sum(uu + um) from x where rn = 2 group by gap0 union all select 'pi', gap0, 1, 0, sum(mu + mm) from x where rn = 2 group by gap0
    union all select 'gamma', 0, 0, 0, sum(uu + um) + sum(case when rn = len then uu + mu else 0 end) from x union all select 'gamma', 0, 1, 0, sum(mu + mm) + sum(case when rn = len then um + mm else 0 end) from x)
   select kind, cast(dist as int) as dist, i, j, round(v, 4) as value from o""",
+    "mixture_step": recursive(seq(2)).replace(S_U, MIX_U).replace(S_M, MIX_M) + PASSES + """
+  gx as (select read_name, rn, uu + mu as g0, um + mm as g1 from x union all select read_name, 1, uu + um, mu + mm from x where rn = 2),
+  gp as (select pt.z_len, pt.z_cov, pt.z_dist, g0, g1 from pt join gx using (read_name, rn)),
+  mo as (""" + mixture_moments() + """),
+  pr as (select *, w / g as share, sum(w / g) over (partition by f, i) as total from mo)
+  select 'mean' as kind, f as r, i, c as j, round(mu + s1 / w, 6) as value from pr union all select 'var', f, i, c, round(s2 / w, 6) from pr union all select 'prop', f, i, c, round(share / total, 6) from pr""",
     "gmm_halves": seq(2) + """, h as (select z_len as a, z_cov as b, z_dist as c, case when row_number() over (order by (z_len + z_cov + z_dist) / 3) <= count(*) over () // 2 then 0 else 1 end as half from pt),
   g as (select half, avg(a) as ma, avg(b) as mb, avg(c) as mc, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, b) as bb, covar_samp(b, c) as bc, covar_samp(c, c) as cc from h group by half)
   select half, unnest([0, 1, 2, 0, 0, 0, 1, 1, 1, 2, 2, 2]) as f, unnest([-1, -1, -1, 0, 1, 2, 0, 1, 2, 0, 1, 2]) as g, round(unnest([ma, mb, mc, aa, ab, ac, ab, bb, bc, ac, bc, cc]), 5) as value from g""",
-    "init_observed": seq(2) + """, f as (select obs, unnest(['0', '1', '2']) as f, unnest([z_len, z_cov, z_dist]) as z from pt), a as (select obs, f, avg(z) as m, var_pop(z) as v from f group by all)
-  select 'mean' as kind, cast(f as int) as r, obs as i, 0 as j, round(m, 6) as value from a union all select 'var', cast(f as int), obs, 0, round(v, 6) from a""",
+    "init_observed": seq(2) + """, f as (select obs, unnest(['0', '1', '2']) as f, unnest([z_len, z_cov, z_dist]) as z from pt), m as (select obs, f, avg(z) as m, var_pop(z) as v from f group by all),
+  p as (select gap, count(*) filter (where obs = 0) / count(*) as u, count(*) filter (where obs = 1) / count(*) as m from pt where rn = 1 group by gap),
+  t as (select gap, count(*) filter (where prev = 0) as nu, count(*) filter (where prev = 1) as nm, count(*) filter (where prev = 0 and obs = 0) as uu, count(*) filter (where prev = 1 and obs = 0) as mu
+   from pt where rn > 1 group by gap having nu > 0 and nm > 0)
+  select 'mean' as kind, cast(f as int) as r, obs as i, 0 as j, round(m, 6) as value from m union all select 'var', cast(f as int), obs, 0, round(v, 6) from m
+  union all select 'prop', cast(f as int), obs, 0, 1.0::double from m
+  union all select 'pi', gap, 0, 0, round(u, 6) from p union all select 'pi', gap, 1, 0, round(m, 6) from p
+  union all select 'a', gap, 0, 0, round(uu / nu, 6) from t union all select 'a', gap, 0, 1, round(1 - uu / nu, 6) from t
+  union all select 'a', gap, 1, 0, round(mu / nm, 6) from t union all select 'a', gap, 1, 1, round(1 - mu / nm, 6) from t""",
     "window_levels": VEC + " select vec_id, cast(sample as int) as sample, round(level, 7) as level, case when level >= 0.1 then 1.0::double else 0.0::double end as binary from l",
     "most_variable_windows": VEC + """, s as (select vec_id, stddev_samp(level) as sd, count(level) as n_level, count(*) as n_sample from l group by vec_id)
-  select vec_id, round(sd, 7) as sd, n_level, n_sample from s where sd > (select quantile_cont(sd, 0.9) from s)""",
+  select vec_id, round(sd, 7) as sd, n_level, n_sample from s where sd > (select quantile_cont(sd, 0.99) from s)""",
     "gram_matrix": """with v as (select vec_id, unnest(range(64)) as k, cast(unnest(embedding) as double) as e from embeddings)
   select cast(a.k as int) as i, cast(b.k as int) as j, round(sum(a.e * b.e), 5) as value from v a join v b using (vec_id) group by all""",
 }

@@ -293,15 +293,24 @@ def fragments_near_sites(spark, sf):
     return FR.fragments_near_sites(a, s, "id", [Span("chr", "pos", "pos_end"), Span("chr", "mate_pos", "mate_end")], Span("c_chr", "c_lo", "c_hi"))
 
 
-def position_tensor(spark, sf):
+def _tensor(spark, sf, make):
     wins = B.regions(spark, sf).selectExpr("r_chr as chr", "r_lo as start_", "r_lo + r_size as end_")
     chunk = wins.selectExpr("chr", "explode(sequence(start_ + 1, end_)) as pos").distinct()
     bases = chunk.selectExpr("chr", "pos", "substring('ACGTN', pos * 7 % 5 + 1, 1) as base")
     frags = B.matrix(spark, sf).selectExpr("chr", "start_ + dist_end as f_start", "start_ + dist_end + frag_len as f_end", "strand as f_strand")
     cpg = B.matrix(spark, sf).groupBy("chr", F.col("end_").alias("pos")).agg(F.max("prior").alias("methy"))
-    t = W.position_tensor(wins, bases, frags, cpg, max_cov=12, max_frag_len=400)
-    flat = F.array_join(F.transform(F.flatten("vectors"), lambda v: F.format_string("%.2f", v)), ",")
-    return t.select("chr", "pos", "base", "methy", "n_plus", "n_minus", flat.alias("vectors"))
+    t = make(wins, bases, frags, cpg)
+    return t.withColumn("vectors", F.array_join(F.transform(F.flatten("vectors"), lambda v: F.format_string("%.2f", v)), ","))
+
+
+def position_tensor(spark, sf):
+    t = _tensor(spark, sf, lambda *a: W.position_tensor(*a, max_cov=12, max_frag_len=400))
+    return t.select("chr", "pos", "base", "methy", "n_plus", "n_minus", "vectors")
+
+
+def window_tensor(spark, sf):
+    """Positions of all windows, overlapping ones apart, in blocks by row number."""
+    return _tensor(spark, sf, lambda wins, *a: W.window_tensor(W.number_windows(wins, stretch=4096), *a, max_cov=12, max_frag_len=400))
 
 
 def bedgraph_project(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragweave.operators import hmm as H
+from fragweave.operators import matrix as M
 from fragweave.operators import tissue as TI
 from fragweave.plans import bindings as B
 from fragweave.plans.queries_matrix import scored, sequences_of
@@ -96,9 +97,28 @@ def _model_rows(spark, m: H.Model) -> DataFrame:
 
 
 def init_observed(spark, sf):
-    """Emissions and counted tables of the start from observed states (bins without data left out)."""
-    seqs = sequences_of(spark, sf, 2)
-    return _model_rows(spark, H.init_observed(seqs)).where(F.col("kind").isin("mean", "var"))
+    """Emissions and counted tables of the start from observed states (bins without data, which are drawn, left out)."""
+    seqs = durable(sequences_of(spark, sf, 2), "train")
+    first = M.initial_state_table(seqs).select(F.lit("pi").alias("kind"), F.col("dist").alias("r"))
+    step = M.transition_table(seqs).where("p_uu is not null and p_mu is not null").select(F.lit("a").alias("kind"), F.col("dist").alias("r"))
+    rows = _model_rows(spark, H.init_observed(seqs))
+    counted = rows.join(first.unionByName(step), ["kind", "r"], "left_semi")
+    return rows.where(F.col("kind").isin("mean", "var", "prop")).unionByName(counted)
+
+
+def _two_component_model() -> H.Model:
+    """The fixed model with two normals a feature, around the single ones and unequally weighted."""
+    m = _fixed_model()
+    emit = tuple(H.Emission(
+        tuple((mu[0] - 0.5, mu[0] + 0.4) for mu in e.mean), tuple((v[0], v[0] * 1.5) for v in e.var), ((0.6, 0.4),) * 3) for e in m.emit)
+    return H.replace(m, emit=emit)
+
+
+def mixture_step(spark, sf):
+    """Emissions of two components a feature after one training step."""
+    m = _two_component_model()
+    new = H.m_step(m, H.e_step(sequences_of(spark, sf, 2), m, H.FEATURES))
+    return _model_rows(spark, new).where(F.col("kind").isin("mean", "var", "prop"))
 
 
 def init_gmm(spark, sf):
@@ -135,7 +155,7 @@ def window_levels(spark, sf):
 
 
 def most_variable_windows(spark, sf):
-    t = TI.most_variable(TI.window_levels(_vectors(spark, sf), ["vec_id"], "sample", "methylated", "coverage"), ["vec_id"], 0.9)
+    t = TI.most_variable(TI.window_levels(_vectors(spark, sf), ["vec_id"], "sample", "methylated", "coverage"), ["vec_id"])
     return t.select("vec_id", F.round("sd", 7).alias("sd"), "n_level", "n_sample")
 
 

@@ -54,16 +54,28 @@ def bedgraphs(pred: DataFrame) -> dict[str, DataFrame]:
     return {k: t.select("chr", "start_", "end_", F.col(v).alias("value")).orderBy("chr", "start_", "end_") for k, v in value.items()}
 
 
-def write_fragment_reports(summary: DataFrame, by_length: DataFrame, by_methylation: DataFrame, path: str) -> None:
-    """Detail and both summaries; the summary table is read once from its own output."""
+def write_fragment_reports(summary: DataFrame, path: str) -> None:
+    """Fragment detail and its summaries by length and by methylation, each in order of its groups.
+
+    ``summary`` is as from ``fragment_summary`` and is computed once: both summaries read the detail
+    back, whose values are whole numbers and names, and add up in every task before they shuffle.
+    """
+    from fragweave.operators import fragments as FR
+
     write_tsv(summary, f"{path}/detail")
-    write_tsv(by_length.orderBy("frag_len"), f"{path}/by_length")
-    write_tsv(by_methylation.orderBy("methy_tenth"), f"{path}/by_methylation")
+    detail = summary.sparkSession.read.schema(summary.schema).option("sep", "\t").option("header", True).csv(f"{path}/detail")
+    write_tsv(FR.methylation_by_length(detail).orderBy("frag_len"), f"{path}/by_length")
+    write_tsv(FR.length_by_methylation(detail).orderBy("methy_tenth"), f"{path}/by_methylation")
+
 
+def write_tensors(numbered: DataFrame, tensor: DataFrame, path: str) -> None:
+    """Window coordinates (from ``number_windows``) and position rows (from ``window_tensor``) as two Parquet tables.
 
-def write_tensors(df: DataFrame, path: str) -> None:
-    """Nested arrays as Parquet."""
-    df.write.parquet(path)
+    A window's rows have the numbers first_row to first_row + length - 1, so a block of windows is a
+    range of rows; position files are cut and sorted by that number.
+    """
+    numbered.write.parquet(f"{path}/windows")
+    tensor.repartitionByRange("row").sortWithinPartitions("row").write.parquet(f"{path}/positions")
 
 
 def vcf_lines(genotypes: DataFrame, variant: list[str], patient: str) -> DataFrame:

@@ -6,7 +6,7 @@ are comments; gzip is recognised by suffix. Rows that are too short are skipped,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -105,28 +105,29 @@ def read_sample_sheet(spark: SparkSession, path: str, patient: int = 0, library:
 
 
 def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """FASTA as fixed chunks: chr, chunk_start (0-based), bases.
+    """FASTA as fixed chunks: chr, chunk_start (0-based), bases. Lines before the first header are left out.
 
-    Lines are placed by the running length of the lines before them, added up first per input
-    split and then over the few split totals, so no contig is gathered in one task.
+    A line belongs to the last header before it: inside an input split a running value finds it, and a
+    small table with one row a split carries the last header of earlier splits over. Lines are placed by
+    the running length of the lines before them, likewise first inside a split and then over splits. So
+    neither a contig nor the list of contigs is gathered anywhere.
     """
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"))
-    heads = raw.where(F.col("value").startswith(">")).select(F.col("_id").alias("_from"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chr"))
-    starts = sorted((r["_from"], r["chr"]) for r in heads.collect())  # one row per contig
-    if not starts:
-        raise ValueError(f"no FASTA header in {path}")
-    from pyspark.sql import Window
-
-    head_of = F.lit(None).cast("string")
-    for at, name in starts:
-        head_of = F.when(F.col("_id") >= at, F.lit(name)).otherwise(head_of)
-    lines = raw.where(~F.col("value").startswith(">")).select(
-        head_of.alias("chr"), "_id", F.shiftright("_id", 33).alias("_split"), F.upper(F.trim("value")).alias("b"))
-    inside = Window.partitionBy("chr", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = lines.groupBy("chr", "_split").agg(F.sum(F.length("b")).alias("_t"))
-    before = Window.partitionBy("chr").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("chr", "_split", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
-    placed = lines.withColumn("_in", F.coalesce(F.sum(F.length("b")).over(inside), F.lit(0))).join(totals, ["chr", "_split"])
+    is_head = F.col("value").startswith(">")
+    head = F.when(is_head, F.struct(F.col("_id").alias("at"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chr")))
+    raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
+    raw = raw.select("_id", F.shiftright("_id", 33).alias("_split"), head.alias("_head"), F.when(~is_head, F.upper(F.trim("value"))).alias("b"))
+    ends = raw.groupBy("_split").agg(F.max("_head").alias("_head"))
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)  # one small row a split
+    carried = ends.select("_split", F.last("_head", ignorenulls=True).over(earlier).alias("_carried"))
+    so_far = Window.partitionBy("_split").orderBy("_id")
+    lines = raw.withColumn("_head", F.last("_head", ignorenulls=True).over(so_far)).join(carried, "_split")
+    lines = lines.withColumn("_head", F.coalesce("_head", "_carried")).where(F.col("b").isNotNull() & F.col("_head").isNotNull())
+    inside = Window.partitionBy("_split", "_head").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("_split", "_head", "b", F.coalesce(F.sum(F.length("b")).over(inside), F.lit(0)).alias("_in"))
+    totals = lines.groupBy("_split", "_head").agg(F.sum(F.length("b")).alias("_t"))
+    before = Window.partitionBy("_head").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_split", "_head", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    placed = lines.join(totals, ["_split", "_head"])
     at = F.col("_base") + F.col("_in")
     pieces = F.transform(
         F.sequence(F.floor(at / chunk), F.floor((at + F.length("b") - 1) / chunk)),
@@ -134,9 +135,9 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
             (k * chunk).alias("chunk_start"), F.greatest(at, k * chunk).alias("p"),
             F.substring("b", (F.greatest(at, k * chunk) - at + 1).cast("int"),
                         (F.least(at + F.length("b"), (k + 1) * chunk) - F.greatest(at, k * chunk)).cast("int")).alias("s")))
-    cut = placed.where(F.length("b") > 0).select("chr", F.inline(pieces))
-    joined = cut.groupBy("chr", "chunk_start").agg(F.array_sort(F.collect_list(F.struct("p", "s"))).alias("_l"))
-    return joined.select("chr", "chunk_start", F.array_join(F.transform("_l", lambda x: x["s"]), "").alias("bases"))
+    cut = placed.where(F.length("b") > 0).select("_head", F.inline(pieces))
+    joined = cut.groupBy("_head", "chunk_start").agg(F.array_sort(F.collect_list(F.struct("p", "s"))).alias("_l"))
+    return joined.select("_head.chr", "chunk_start", F.array_join(F.transform("_l", lambda x: x["s"]), "").alias("bases"))
 
 
 def genome_lookup(rows: DataFrame, genome: DataFrame, chrom: str, start0, length: int | Column, name: str, *, chunk: int = 1 << 16,

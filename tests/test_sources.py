@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,29 @@ def test_sink_numbers(spark):
 def test_vcf_lines(spark):
     g = spark.createDataFrame([(1, "p", "0/1", [1, 2], [0, 1, 2], 3, 9)], "v int, pat string, gt string, ad array<int>, pl array<int>, dp int, gq int")
     assert K.vcf_lines(g, ["v"], "pat").first()["samples"] == {"p": "0/1:1,2:3:9:0,1,2"}
+
+
+def test_fasta_of_very_many_contigs_and_of_long_ones(spark, tmp_path):
+    """A hundred thousand short contigs, and one that goes over many input splits."""
+    (tmp_path / "many.fa").write_text("".join(f">c{k} some words\n{'ACGT'[k % 4] * (k % 7)}\n" for k in range(100_000)))
+    got = X.read_fasta(spark, str(tmp_path / "many.fa"), chunk=4)
+    total, chunks = got.agg(F.sum(F.length("bases")), F.count(F.lit(1))).first()
+    assert total == sum(k % 7 for k in range(100_000)) and chunks == sum(-(-(k % 7) // 4) for k in range(100_000))
+    assert [tuple(r) for r in got.where("chr in ('c6', 'c99998')").orderBy("chr", "chunk_start").collect()] == [
+        ("c6", 0, "GGGG"), ("c6", 4, "GG"), ("c99998", 0, "GGG")]
+    rng = random.Random(2)
+    seqs = {"a": "".join(rng.choice("ACGTn") for _ in range(50_000)), "b": "".join(rng.choice("acgt") for _ in range(777)), "empty": "", "c": "ACGT" * 5000}
+    lines = ["; before the first header"] + [line for name, s in seqs.items() for line in [f">{name}", *[s[i:i + 61] for i in range(0, len(s), 61)], ""]]
+    (tmp_path / "long.fa").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = X.read_fasta(spark, str(tmp_path / "long.fa"), chunk=1000).orderBy("chr", "chunk_start").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", str(512 << 10))
+    got = {}
+    for r in rows:
+        assert r.chunk_start == len(got.get(r.chr, ""))
+        got[r.chr] = got.get(r.chr, "") + r.bases
+    assert got == {k: v.upper() for k, v in seqs.items() if v}
