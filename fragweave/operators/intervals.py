@@ -164,12 +164,12 @@ def overlap_anti(rows: DataFrame, regions: DataFrame, span: Span, rspan: Span, *
 
 
 def overlap_flags(rows: DataFrame, tracks: dict[str, DataFrame], span: Span, rspan: Span, *, bin_size: int = BIN,
-                  hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """One 0/1 column per named track, computed once per distinct site and attached to the rows."""
+                  hot_rows: int = skew.HOT_ROWS, unique: bool = False) -> DataFrame:
+    """One 0/1 column per named track, computed once per distinct site and attached to the rows (``unique``: each row is a site)."""
     sites = rows.groupBy(*span).agg(F.count(F.lit(1)).alias("_n"))
     flagged = sites.select(*span)
     for name, regions in tracks.items():
         hits = _hit_sites(sites.select(*span), regions, span, rspan, bin_size).withColumn(name, F.lit(1))
         flagged = flagged.join(hits, list(span), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    hot = skew.hot_keys(sites, list(span), hot_rows, weight="_n")
+    hot = None if unique else skew.hot_keys(sites, list(span), hot_rows, weight="_n")
     return skew.attach(rows, flagged, list(span), "left", hot_rows, hot)

@@ -110,8 +110,8 @@ def _closest(up: Column, down: Column) -> Column:
 
 
 def nearest_feature(rows: DataFrame, features: DataFrame, span: Span, fspan: Span, strand: str, name: str, *,
-                    bin_size: int = BIN, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """Signed distance of every row to its nearest feature, computed once per distinct site."""
+                    bin_size: int = BIN, hot_rows: int = skew.HOT_ROWS, unique: bool = False) -> DataFrame:
+    """Signed distance of every row to its nearest feature, computed once per distinct site (``unique``: each row is one)."""
     sites = rows.groupBy(*span).agg(F.count(F.lit(1)).alias("_n"))
     near = neighbours(sites.select(*span), features, span, fspan, [strand], bin_size=bin_size)
     dist = {
@@ -122,7 +122,7 @@ def nearest_feature(rows: DataFrame, features: DataFrame, span: Span, fspan: Spa
     up = F.when(F.col("up").isNotNull(), dist["up"])
     down = F.when(F.col("down").isNotNull(), dist["down"])
     near = near.select(*span, F.coalesce(_closest(up, down), F.lit(NO_FEATURE)).alias(name))
-    hot = skew.hot_keys(sites, list(span), hot_rows, weight="_n")
+    hot = None if unique else skew.hot_keys(sites, list(span), hot_rows, weight="_n")
     return skew.attach(rows, near, list(span), "left", hot_rows, hot)
 
 

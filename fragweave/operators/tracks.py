@@ -129,13 +129,16 @@ def window_mean(stats: DataFrame, name: str, ext: int, *, over_width: bool = Fal
 
 
 def attach_track_values(rows: DataFrame, tracks: dict[str, tuple[DataFrame, int]], span: Span, tspan: Span, value: str, *,
-                        per_base: bool = False, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
-    """One column per named track. A negative extension asks for the sum over the window width."""
+                        per_base: bool = False, hot_rows: int = skew.HOT_ROWS, unique: bool = False) -> DataFrame:
+    """One column per named track. A negative extension asks for the sum over the window width.
+
+    ``unique`` says that no two rows share a site, so that none has to be looked for that many share.
+    """
     sites = rows.groupBy(*span).agg(F.count(F.lit(1)).alias("_n"))
     values = sites.select(*span)
     stats_of = window_base_stats if per_base else window_record_stats
     for name, (track, ext) in tracks.items():
         stats = stats_of(sites.select(*span), track, span, tspan, value, abs(ext))
         values = values.join(window_mean(stats, name, abs(ext), over_width=ext < 0), list(span), "left")
-    hot = skew.hot_keys(sites, list(span), hot_rows, weight="_n")
+    hot = None if unique else skew.hot_keys(sites, list(span), hot_rows, weight="_n")
     return skew.attach(rows, values, list(span), "left", hot_rows, hot)

@@ -122,6 +122,27 @@ ORACLE = {
     case when dn.f is not null then {distance("dn.f[1]", "dn.f[2]", "dn.f[3]", "q.start_", "q.end_")} end as v
     from q left join up using (chr, start_) left join dn using (chr, start_))
   select chr, start_, base, cast(case when v is null or abs(u) < abs(v) then u else v end as int) as nearest from d""",
+    "annotated_sites": "with " + SITES + ", " + ctes("regions", "signal") + ", " + SPOTS + f""",
+  q as (select *, case base when 'C' then 1 else 2 end as b, case base when 'C' then 2 else 1 end as a from sites where base in ('C', 'G')),
+  s as (select chr, start_, end_ from q),
+  up0 as (select q.chr, q.start_, max((s.start_, s.end_, s.strand)) as f from q join sites s on s.chr = q.chr and s.start_ <= q.start_ - q.b group by all),
+  dn0 as (select q.chr, q.start_, min((s.start_, s.end_, s.strand)) as f from q join sites s on s.chr = q.chr and s.start_ >= q.start_ + q.a group by all),
+  d0 as (select q.chr, q.start_, case when up0.f is not null then {distance("up0.f[1]", "up0.f[2]", "up0.f[3]", "q.start_", "q.end_")} end as u,
+    case when dn0.f is not null then {distance("dn0.f[1]", "dn0.f[2]", "dn0.f[3]", "q.start_", "q.end_")} end as v from q left join up0 using (chr, start_) left join dn0 using (chr, start_)),
+  fl as (select chr, start_, max(cast(r_strand = '+' as int)) as p, max(cast(r_strand = '-' as int)) as m from s join regions on r_chr = chr and r_lo <= end_ and r_hi >= start_ group by all),
+  f as (select r_chr, r_lo, r_hi, min(r_strand) as r_strand from spots group by all),
+  up as (select chr, start_, end_, max((r_lo, r_hi, r_strand)) as f from s join f on r_chr = chr and (r_lo < start_ or (r_lo = start_ and r_hi <= end_)) group by all),
+  dn as (select chr, start_, end_, min((r_lo, r_hi, r_strand)) as f from s join f on r_chr = chr and (r_lo > start_ or (r_lo = start_ and r_hi >= end_)) group by all),
+  d as (select s.*, case when up.f is not null then {distance("up.f[1]", "up.f[2]", "up.f[3]", "s.start_", "s.end_")} end as u,
+    case when dn.f is not null then {distance("dn.f[1]", "dn.f[2]", "dn.f[3]", "s.start_", "s.end_")} end as v
+    from s left join up using (chr, start_, end_) left join dn using (chr, start_, end_)),
+  a as (select chr, start_, avg(s_value) filter (where s_pos between greatest(start_ - 100, 1) and end_ + 100) as x, avg(s_value) filter (where s_pos between greatest(start_ - 20, 1) and end_ + 20) as z,
+    sum(s_value) / 1001 as y from s join signal on s_chr = chr and s_pos between greatest(start_ - 500, 1) and end_ + 500 group by all),
+  o as (select chr, start_, r_value, least(r_hi, end_ + 50) - greatest(r_lo, start_ - 50, 1) + 1 as w from s join regions on r_chr = chr and r_hi >= greatest(start_ - 50, 1) and r_lo <= end_ + 50),
+  bm as (select chr, start_, sum(r_value * w) / sum(w) as v from o group by all)
+  select s.chr, s.start_, s.end_, cast(case when d0.v is null or abs(d0.u) < abs(d0.v) then d0.u else d0.v end as int) as nearest_cpg, coalesce(p, 0) as in_plus, coalesce(m, 0) as in_minus,
+    cast(coalesce(case when d.v is null or abs(d.u) < abs(d.v) then d.u else d.v end, 2147483647) as int) as distance, round(a.z, 4) as prior, round(a.x, 4) as mean_100, round(a.y, 4) as mean0_500, round(bm.v, 4) as v
+  from s left join d0 using (chr, start_) left join fl using (chr, start_) left join d using (chr, start_) left join a using (chr, start_) left join bm using (chr, start_)""",
     "nearest_by_rank": "with " + SITES + """,
   l as (select *, lag(start_, 1) over w as m1, lag(start_, 2) over w as m2, lead(start_, 1) over w as q1, lead(start_, 2) over w as q2
    from sites window w as (partition by chr order by start_, end_)),

@@ -138,6 +138,20 @@ def nearest_other_site(spark, sf):
     return N.nearest_other_site(s, s, SITE, "base", "strand", "nearest").select("chr", "start_", "base", "nearest")
 
 
+def annotated_sites(spark, sf):
+    """Every annotation of the feature matrix for every site: neighbours, flags, distances, record and base means."""
+    from fragweave.plans.workflows import annotate_sites
+
+    s = _sites(spark, sf)
+    rename = {"r_chr": "chr", "r_lo": "lo", "r_hi": "hi", "r_strand": "strand", "r_value": "value"}
+    r = B.regions(spark, sf).withColumnsRenamed(rename)
+    spots = _spots(spark, sf).withColumnsRenamed(rename)
+    sig = B.signal(spark, sf).selectExpr("s_chr as chr", "s_pos as lo", "s_pos as hi", "s_value as value")
+    t = annotate_sites(s, all_sites=s, overlap_tracks={"in_plus": r.where("strand = '+'"), "in_minus": r.where("strand = '-'")}, distance_tracks={"distance": spots},
+                       value_tracks={"mean_100": (sig, 100), "mean0_500": (sig, -500)}, base_tracks={"v": (r, 50)}, prior=(sig, POINT._replace(chrom="chr", lo="lo", hi="hi"), "value", 20))
+    return t.select(*SITE, "nearest_cpg", "in_plus", "in_minus", "distance", *[F.round(c, 4).alias(c) for c in ("prior", "mean_100", "mean0_500", "v")])
+
+
 def nearest_by_rank(spark, sf):
     return N.nearest_by_rank(_sites(spark, sf), SITE, "base", "nearest").select("chr", "start_", "base", "nearest")
 

@@ -48,34 +48,98 @@ def read_hits(reads: DataFrame, sites: DataFrame, genome: DataFrame, *, min_mapq
     return skew.attach(hits, letters, list(SITE), "inner")
 
 
-def extract_matrix(reads: DataFrame, sites: DataFrame, genome: DataFrame, *, prior: tuple[DataFrame, Span, str, int] | None = None,
-                   overlap_tracks: dict[str, DataFrame] | None = None, distance_tracks: dict[str, DataFrame] | None = None,
-                   value_tracks: dict[str, tuple[DataFrame, int]] | None = None, track_span: Span = Span("chr", "lo", "hi"),
-                   ref_kmers: int = 0, kmer_ext: int = 100, max_coverage: int = 250, min_mapq: int = 30, min_base_q: int = 5,
-                   max_ch_rate: float | None = None, total: int | None = None, chunk: int = 1 << 16) -> DataFrame:
-    """Feature matrix with optional site annotations.
-
-    ``prior``: value track (table, span, value column, extension) for the prior column.
-    Annotations are computed once per distinct site and attached to the rows.
+Track = tuple[DataFrame, int]
+
+
+def annotate_sites(sites: DataFrame, *, genome: DataFrame | None = None, prior: tuple[DataFrame, Span, str, int] | None = None,
+                   all_sites: DataFrame | None = None, overlap_tracks: dict[str, DataFrame] | None = None,
+                   distance_tracks: dict[str, DataFrame] | None = None, value_tracks: dict[str, Track] | None = None,
+                   base_tracks: dict[str, Track] | None = None, track_span: Span = Span("chr", "lo", "hi"), value: str = "value", strand: str = "strand",
+                   ref_kmers: int = 0, kmer_ext: int = 100, selected: list[str] | None = None, context: int = 0, chunk: int = 1 << 16) -> DataFrame:
+    """All annotations of every distinct site, one row a site; sites are few, so this is done before any read is met.
+
+    * ``prior``: value track (table, span, value column, extension) for the prior column.
+    * ``all_sites`` (chr, start_, end_, strand): distance to the nearest other CpG as ``nearest_cpg``. It needs the
+      sites' column ``base``, and leaves out sites whose base is neither C nor G.
+    * tracks by name: 0/1 overlap, signed distance, mean of the records (``value_tracks``, as in tabix tables) or
+      of the covered bases (``base_tracks``, as in bigWig) in a window around the site.
+    * ``ref_kmers``: percentages of the k-mers of 2 up to so many bases in the reference around the site, or of the
+      ``selected`` ones only.
+    * ``context``: so many reference bases on both sides of the CpG, for either strand (context_plus, context_minus).
+
+    Columns of ``sites`` beyond chr, start_, end_ and base are left behind.
     """
-    n = SI.total_reads(reads, R.passes_flags(F.col("flag"), F.col("mapq"), min_mapq)) if total is None else total
-    hits = read_hits(reads, sites, genome, min_mapq=min_mapq, max_ch_rate=max_ch_rate, chunk=chunk)
-    rows = SI.feature_rows(hits, n, min_base_q=min_base_q, max_coverage=max_coverage)
+    rows = durable(sites.select(*SITE, *(["base"] if all_sites is not None else [])).distinct(), "sites")
+    out = spots = rows.select(*SITE)
+
+    def add(found: DataFrame, how: str = "left") -> None:
+        nonlocal out
+        out = out.join(found, list(SITE), how)
+
+    # every annotation starts from the written sites, so that plans do not nest
+    if all_sites is not None:
+        near = N.nearest_other_site(rows.withColumn("_strand", F.lit(".")), all_sites.select(*SITE, F.col(strand).alias("_strand")).distinct(), SITE, "base", "_strand", "nearest_cpg")
+        add(near.drop("_strand", "base"), "inner")
     if prior is not None:
-        table, span, value, ext = prior
-        rows = T.attach_track_values(rows, {"prior": (table, ext)}, SITE, span, value)
+        table, span, column, ext = prior
+        add(T.attach_track_values(spots, {"prior": (table, ext)}, SITE, span, column, unique=True))
     if overlap_tracks:
-        rows = I.overlap_flags(rows, overlap_tracks, SITE, track_span)
+        add(I.overlap_flags(spots, overlap_tracks, SITE, track_span, unique=True))
     for name, features in (distance_tracks or {}).items():
-        rows = N.nearest_feature(rows, features, SITE, track_span, "strand", name)
-    if value_tracks:
-        rows = T.attach_track_values(rows, value_tracks, SITE, track_span, "value")
+        add(N.nearest_feature(spots, features, SITE, track_span, strand, name, unique=True))
+    for tracks, per_base in ((value_tracks, False), (base_tracks, True)):
+        if tracks:
+            add(T.attach_track_values(spots, tracks, SITE, track_span, value, per_base=per_base, unique=True))
     if ref_kmers:
-        from fragweave.operators import skew
-
-        spots = genome_lookup(sites.select(*SITE).distinct(), genome, "chr", F.col("end_") - 1 - kmer_ext, 2 * kmer_ext + 1, "_flank", chunk=chunk)
+        flanks = genome_lookup(spots, genome, "chr", F.col("end_") - 1 - kmer_ext, 2 * kmer_ext + 1, "_flank", chunk=chunk)
         for k in range(2, ref_kmers + 1):
-            rows = skew.attach(rows, FR.kmer_frequencies(spots, list(SITE), "_flank", k), list(SITE), "left")
+            found = FR.kmer_frequencies(flanks, list(SITE), "_flank", k)
+            add(found if selected is None else found.select(*SITE, *[c for c in found.columns if c in selected]))
+    if context:
+        for name, sign in (("context_plus", "+"), ("context_minus", "-")):
+            add(FR.strand_context(spots.withColumn("_sign", F.lit(sign)), genome, context, name, strand="_sign", chunk=chunk).drop("_sign"))
+    return out
+
+
+def fragment_sequences(reads: DataFrame, genome: DataFrame, *, max_len: int = 1000, chunk: int = 1 << 16) -> DataFrame:
+    """Reference bases under every fragment (chr, read_name, minus, seq), from the first to the last position of its mates.
+
+    Fragments longer than ``max_len`` get no sequence.
+    """
+    f = F.col("flag")
+    sides = reads.groupBy("chr", "read_name").agg(F.bool_or(R.source_negative(R.has(f, R.REVERSE), R.has(f, R.SECOND))).alias("minus"))
+    size = F.col("hi") - F.col("lo") + 1
+    extent = FR.fragment_extents(reads, ["chr", "read_name"]).where(size <= max_len).join(sides, ["chr", "read_name"])
+    return genome_lookup(extent, genome, "chr", F.col("lo") - 1, size, "seq", chunk=chunk, longest=max_len).select("chr", "read_name", "minus", "seq")
+
+
+def extract_matrix(reads: DataFrame, sites: DataFrame, genome: DataFrame, *, min_mapq: int = 30, min_base_q: int = 5, max_coverage: int = 250,
+                   max_ch_rate: float | None = None, total: int | None = None, chunk: int = 1 << 16, frag_kmers: int = 0, strand_specific: bool = True,
+                   selected: list[str] | None = None, max_frag_len: int = 1000, all_sites: DataFrame | None = None, context: int = 0, **annotations) -> DataFrame:
+    """Feature matrix with optional annotations: those of ``annotate_sites`` (worked out once a site, joined
+    once), the site's ``context`` on the row's strand, and with ``frag_kmers`` the k-mers of each row's fragment
+    (a map ``frag_kmers``, or a column for each of the ``selected`` ones), read on its own strand if ``strand_specific``.
+
+    With ``all_sites``, sites whose reference base is neither C nor G have no rows.
+    """
+    from fragweave.operators import skew
+
+    passes = R.passes_flags(F.col("flag"), F.col("mapq"), min_mapq)
+    n = SI.total_reads(reads, passes) if total is None else total
+    hits = read_hits(reads, sites, genome, min_mapq=min_mapq, max_ch_rate=max_ch_rate, chunk=chunk)
+    rows = SI.feature_rows(hits, n, min_base_q=min_base_q, max_coverage=max_coverage, max_frag_len=max_frag_len)
+    if annotations or all_sites is not None or context:
+        spots = sites.select(*SITE).distinct()
+        if all_sites is not None:
+            spots = genome_lookup(spots, genome, "chr", F.col("start_"), 1, "base", chunk=chunk)
+        notes = annotate_sites(spots, genome=genome, all_sites=all_sites, selected=selected, context=context, chunk=chunk, **annotations)
+        rows = skew.attach(rows, notes, list(SITE), "inner" if all_sites is not None else "left")
+    if context:
+        rows = rows.withColumn("context", F.when(F.col("strand") == "-", F.col("context_minus")).otherwise(F.col("context_plus"))).drop("context_plus", "context_minus")
+    if frag_kmers:
+        seqs = fragment_sequences(reads.where(passes), genome, max_len=max_frag_len, chunk=chunk)
+        maps = FR.fragment_kmer_maps(seqs, ["chr", "read_name"], "seq", 2, frag_kmers, reverse="minus" if strand_specific else None, selected=selected)
+        rows = skew.attach(rows, maps, ["chr", "read_name"], "left")
     return rows
 
 

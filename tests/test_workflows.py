@@ -62,6 +62,48 @@ def test_extract_matrix(spark, world):
     assert i["CG"] == pytest.approx(100 * sum(flank[k:k + 2] == "CG" for k in range(6)) / 6)
 
 
+def test_extract_matrix_with_fragment_features(spark, world):
+    """K-mers of the fragment on its strand, contexts, neighbours and both kinds of track means."""
+    track = spark.createDataFrame([("chr1", 100, 120, 2.0), ("chr1", 121, 121, 8.0)], "chr string, lo int, hi int, value double")
+    cpgs = world["s"].withColumn("strand", F.lit("."))
+    wide, seq = 256, world["genome"]
+    g = spark.createDataFrame([("chr1", i, seq[i:i + wide]) for i in range(0, len(seq), wide)], "chr string, chunk_start long, bases string")
+    m = WF.extract_matrix(world["r"], world["s"], g, chunk=wide, frag_kmers=2, context=2, all_sites=cpgs, max_frag_len=wide,
+                          value_tracks={"records": (track, 30)}, base_tracks={"bases": (track, 30)})
+    plain = WF.extract_matrix(world["r"], world["s"], world["g"], chunk=CHUNK)
+    rows, genome, starts = m.collect(), world["genome"], sorted(a for _, a, _ in world["sites"])
+    key = lambda r: (r["start_"], r["read_name"])
+    at_cg = {key(r) for r in plain.collect() if genome[r["start_"]] in "CG"}
+    assert {key(r) for r in rows} == at_cg and len(rows) == len(at_cg) > 0
+    ends = {}
+    for r in world["reads"]:
+        if r[0] != "bad":
+            n = len(r[8])
+            mate = (r[6], r[6] + n - 1) if r[6] > 0 else (r[3], r[12])
+            lo, hi = ends.get(r[0], (10 ** 9, 0))
+            ends[r[0]] = min(lo, r[3], mate[0]), max(hi, r[12], mate[1])
+    turn = str.maketrans("ACGT", "TGCA")
+    for r in rows:
+        a, (lo, hi) = r["start_"], ends[r["read_name"]]
+        minus = r["strand"] == "-"
+        seq = genome[lo - 1:hi]
+        seq = seq.translate(turn)[::-1] if minus else seq
+        pairs = [seq[i:i + 2] for i in range(len(seq) - 1)]
+        assert r["frag_kmers"] == pytest.approx({k: 100 * pairs.count(k) / len(pairs) for k in set(pairs)})
+        begin = a - 2 - minus
+        context = genome[max(begin, 0):begin + 6]
+        assert r["context"] == (context.translate(turn)[::-1] if minus else context)
+        back, ahead = (1, 2) if genome[a] == "C" else (2, 1)
+        others = [abs(x - a) for x in starts if x <= a - back or x >= a + ahead]
+        assert (r["nearest_cpg"] is None) == (not others)
+        window = [x for x in range(max(a - 30, 1), a + 1 + 30 + 1) if 100 <= x <= 121]
+        if window:
+            assert r["bases"] == pytest.approx(sum(8.0 if x == 121 else 2.0 for x in window) / len(window))
+            assert r["records"] == pytest.approx(sum(v for lo, hi, v in ((100, 120, 2.0), (121, 121, 8.0)) if hi >= max(a - 30, 1) and lo <= a + 31) / sum(hi >= max(a - 30, 1) and lo <= a + 31 for lo, hi in ((100, 120), (121, 121))))
+        else:
+            assert r["bases"] is None and r["records"] is None
+
+
 def test_train_and_predict(spark, world):
     m = WF.extract_matrix(world["r"], world["s"], world["g"], chunk=CHUNK).withColumn("prior", F.col("start_") % 101 * 1.0)
     region = spark.createDataFrame([("chr1", 0, 10 ** 6)], "chr string, lo int, hi int")
