@@ -105,6 +105,7 @@ ORACLE = {
    count(*) filter (where obs = 0) as n_u, count(*) filter (where obs = 0 and state = 0) as n_u_correct from dec)
   select *, 100.0::double * n_correct / n as n_accuracy, 100.0::double * n_m_correct / n_m as n_m_accuracy, 100.0::double * n_u_correct / n_u as n_u_accuracy from c""",
     "sequence_likelihood": POINTS + " select round(sum(lnp / len), 3) as likelihood, count(*) as n_fragments from fin",
+    # The thresholds of the receiver operating characteristic.
     "roc_sweep": recursive(seq(1) + decoded("-1, -0.999, -0.99, -0.95, -0.9, -0.8, -0.7, -0.5, -0.1, 0.0::double, 0.1, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1.0")) + """ select cast(th as double) as threshold, count(*) filter (where obs = 1) as n_m, count(*) filter (where obs = 0) as n_u,
   count(*) filter (where obs = 0 and state = 1) / count(*) filter (where obs = 0) as fpr, count(*) filter (where obs = 1 and state = 1) / count(*) filter (where obs = 1) as tpr from dec group by th""",
     "expectation_step": recursive(seq(2)) + """""" + PASSES + """
@@ -131,6 +132,27 @@ ORACLE = {
   union all select 'pi', gap, 0, 0, round(u, 6) from p union all select 'pi', gap, 1, 0, round(m, 6) from p
   union all select 'a', gap, 0, 0, round(uu / nu, 6) from t union all select 'a', gap, 0, 1, round(1 - uu / nu, 6) from t
   union all select 'a', gap, 1, 0, round(mu / nm, 6) from t union all select 'a', gap, 1, 1, round(1 - mu / nm, 6) from t""",
+    "init_gmm": seq(2) + """, hf as (select z_len as a, z_cov as b, z_dist as c, case when row_number() over (order by (z_len + z_cov + z_dist) / 3) <= count(*) over () // 2 then 0 else 1 end as half from pt),
+  hs as (select half, avg(a) as ma, avg(b) as mb, avg(c) as mc, covar_samp(a, a) as aa, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, b) as bb, covar_samp(b, c) as bc, covar_samp(c, c) as cc from hf group by half),
+  hd as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from hs),
+  hi as (select half, ma, mb, mc, det, (bb * cc - bc * bc) / det as i11, (ac * bc - ab * cc) / det as i12, (ab * bc - ac * bb) / det as i13, (aa * cc - ac * ac) / det as i22, (ab * ac - aa * bc) / det as i23,
+   (aa * bb - ab * ab) / det as i33 from hd),
+  hl as (select read_name, rn, gap, z_len, z_cov, z_dist, half, -0.5 * ln(det) - 0.5 * (i11 * pow(z_len - ma, 2) + i22 * pow(z_cov - mb, 2) + i33 * pow(z_dist - mc, 2)
+   + 2 * (i12 * (z_len - ma) * (z_cov - mb) + i13 * (z_len - ma) * (z_dist - mc) + i23 * (z_cov - mb) * (z_dist - mc))) as l from pt, hi),
+  hr as (select read_name, rn, gap, z_len, z_cov, z_dist, 1 / (1 + exp(greatest(least(max(l) filter (where half = 0) - max(l) filter (where half = 1), 700), -700))) as g1 from hl group by all),
+  hg as (select *, 1 - g1 as g0 from hr),
+  ht as (select n.gap, sum(p.g0 * n.g0) as uu, sum(p.g0 * n.g1) as um, sum(p.g1 * n.g0) as mu, sum(p.g1 * n.g1) as mm from hg n join hg p on p.read_name = n.read_name and p.rn = n.rn - 1 group by n.gap),
+  hp as (select gap, sum(g0) as u, sum(g1) as m from hg where rn = 1 group by gap),
+  hb as (select cast(unnest(range(0, 501)) as int) as r),
+  hz as (select unnest([0, 1, 2]) as f, unnest([z_len, z_cov, z_dist]) as x, g0, g1 from hg),
+  he as (select f, 0 as i, sum(g0 * x) / sum(g0) as mu, sum(g0 * x * x) / sum(g0) - pow(sum(g0 * x) / sum(g0), 2) as va from hz group by f union all
+   select f, 1, sum(g1 * x) / sum(g1), sum(g1 * x * x) / sum(g1) - pow(sum(g1 * x) / sum(g1), 2) from hz group by f),
+  ha as (select r, coalesce(u / (u + m), 0.5) as pu, coalesce(m / (u + m), 0.5) as pm, coalesce(uu / (uu + um), 0.5) as uu, coalesce(um / (uu + um), 0.5) as um, coalesce(mu / (mu + mm), 0.5) as mu, coalesce(mm / (mu + mm), 0.5) as mm
+   from hb left join hp on hp.gap = r left join ht on ht.gap = r)
+  select 'pi' as kind, r, unnest([0, 1]) as i, 0 as j, round(unnest([pu, pm]), 6) as value from ha union all select 'a', r, unnest([0, 0, 1, 1]), unnest([0, 1, 0, 1]), round(unnest([uu, um, mu, mm]), 6) from ha
+  union all select 'mean', f, i, 0, round(mu, 6) from he union all select 'var', f, i, 0, round(va, 6) from he union all select 'prop', f, i, 0, 1.0::double from he
+  union all select 'bayes_factor', 0, 0, 0, 0.9::double
+  union all select 'methylated', 0, 0, 0, cast(max(mu) filter (where i = 1) >= max(mu) filter (where i = 0) as double) from he where f = 2""",
     "window_levels": VEC + " select vec_id, cast(sample as int) as sample, round(level, 7) as level, case when level >= 0.1 then 1.0::double else 0.0::double end as binary from l",
     "most_variable_windows": VEC + """, s as (select vec_id, stddev_samp(level) as sd, count(level) as n_level, count(*) as n_sample from l group by vec_id)
   select vec_id, round(sd, 7) as sd, n_level, n_sample from s where sd > (select quantile_cont(sd, 0.99) from s)""",

@@ -35,7 +35,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     error, since its executors could not read each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fragweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fragweave.functions import sequence as S
 
+# Column names of the matrix and prediction files.
 MATRIX_HEADER = ["chr", "start", "end", "readName", "FragLen", "Frag_strand", "methy_stat", "Norm_Frag_cov", "baseQ", "Offset_frag",
                  "Dist_frag_end"]
 PREDICTION = ["chr", "start_", "end_", "methy_perc_predict", "methy_count_predict", "total_count_predict", "methy_perc_obs",
