@@ -74,16 +74,40 @@ def read_bedgraph(spark: SparkSession, path: str, track: str) -> DataFrame:
                     _at(3).cast("double").alias("value"))
 
 
+def read_scored_bed(spark: SparkSession, path: str, track: str) -> DataFrame:
+    """BED records with a number in the 5th field as closed 1-based spans; records without one are left out."""
+    rows = _fields(spark, path, 5).select(F.lit(track).alias("track"), _at(0).alias("chr"), (_at(1).cast("long") + 1).alias("lo"), _at(2).cast("long").alias("hi"),
+                                          _at(4).try_cast("double").alias("value"))
+    return rows.where(F.col("value").isNotNull())
+
+
+def read_track(spark: SparkSession, path: str, track: str) -> DataFrame:
+    """A value track (track, chr, lo, hi, value) by its suffix: bigWig, scored BED, else bedGraph."""
+    suffix = path.lower().removesuffix(".gz").rsplit(".", 1)[-1]
+    if suffix in ("bw", "bigwig"):
+        from fragweave.sources.bigwig import BigWigSource
+
+        spark.dataSource.register(BigWigSource)
+        return spark.read.format("bigwig").load(path).select(F.lit(track).alias("track"), "chr", "lo", "hi", "value")
+    return read_scored_bed(spark, path, track) if suffix == "bed" else read_bedgraph(spark, path, track)
+
+
 def read_tracks(spark: SparkSession, specs: list[str]) -> dict[str, tuple[DataFrame, int]]:
     """Named value tracks from ``name:extension:path`` strings; a negative extension asks for the sum
     over the window width."""
     out = {}
     for spec in specs:
         name, ext, path = spec.split(":", 2)
-        out[name] = (read_bedgraph(spark, path, name), int(ext))
+        out[name] = (read_track(spark, path, name), int(ext))
     return out
 
 
+def tracks_by_kind(spark: SparkSession, specs: list[str]) -> dict[str, dict[str, tuple[DataFrame, int]]]:
+    """The same as ``value_tracks`` (means of records) and ``base_tracks`` (bigWig: means of covered bases) for the feature matrix."""
+    is_base = lambda s: s.lower().endswith((".bw", ".bigwig"))
+    return {"value_tracks": read_tracks(spark, [s for s in specs if not is_base(s)]), "base_tracks": read_tracks(spark, [s for s in specs if is_base(s)])}
+
+
 def read_region_tracks(spark: SparkSession, specs: list[str]) -> dict[str, DataFrame]:
     """Named interval sets from ``name:path`` strings."""
     return {name: read_bed(spark, path) for name, path in (s.split(":", 1) for s in specs)}
