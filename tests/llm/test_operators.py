@@ -66,6 +66,18 @@ def test_exact_dedup_against_an_older_index(spark, tmp_path):
     assert sorted(r.keep_id for r in again.rows().collect()) == [2, 5, 6]
 
 
+def test_exact_dedup_of_a_batch_ingested_again(spark, tmp_path):
+    rows, path = [(1, "a b"), (2, "a  b"), (3, "c"), (None, "d")], str(tmp_path / "index")
+    first = exact_dedup.DigestIndex(spark, path, 3).ingest(docs_of(spark, rows), batch="monday")
+    again = exact_dedup.DigestIndex(spark, path)  # the stored number of buckets holds
+    second = again.ingest(docs_of(spark, rows).repartition(3), batch="monday")
+    assert again.buckets == 3 and again.rows().count() == 3
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) and sum(r.kept for r in second.collect()) == 3
+    assert not any(r.kept for r in again.ingest(docs_of(spark, rows), batch="tuesday").collect())
+    with pytest.raises(ValueError, match="3 buckets"):
+        exact_dedup.DigestIndex(spark, path, 5)
+
+
 def test_exact_dedup_of_nothing(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
