@@ -134,12 +134,15 @@ class Mate(NamedTuple):
     end: np.ndarray  # last reference position of each mate
 
 
+def without(column: pa.Array, skip: np.ndarray) -> pa.Array:
+    """The column with rows to skip as nulls. Rows are taken by number: ``if_else`` misreads text columns that are slices."""
+    return column.take(pa.array(np.arange(len(column)), mask=skip))
+
+
 def mate(start: np.ndarray, cigar: pa.Array, ref: pa.Array, bases: pa.Array, quals: pa.Array, skip: np.ndarray) -> Mate:
     """Reference letters and qualities stand under every base, so all three are equally long; rows to skip are empty."""
-    gone = pa.array(skip)
-    empty = lambda c: pa.compute.if_else(gone, pa.scalar(None, c.type), c)
-    b, r = flat(empty(bases)), flat(empty(ref))
-    q = flat_numbers(empty(quals))
+    b, r = flat(without(bases, skip)), flat(without(ref, skip))
+    q = flat_numbers(without(quals, skip))
     steps = [(np.zeros(0, np.int64), 0) if s else reference_steps(c) for c, s in zip(cigar.to_pylist(), skip.tolist(), strict=True)]
     step = np.concatenate([s for s, _ in steps]) if steps else np.zeros(0, np.int64)
     if not (len(b.data) == len(r.data) == len(q) == len(step) and (b.length == [len(s) for s, _ in steps]).all() and (b.length == r.length).all()):

@@ -238,9 +238,7 @@ def merge_gapped_mates(pairs: DataFrame, keep: list[str], *, gap_extra: int = 2)
                 left = K.mate(starts[0], *own[1:5], skip)
                 right = K.mate(starts[1], *own[6:10], skip)
                 merged = K.merge_mates(left, right, starts[1], own[10].fill_null(True).to_numpy(zero_copy_only=False), gap_extra)
-                gone = pa.array(skip)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:n_keep], *[pa.compute.if_else(gone, pa.scalar(None, c.type), c) for c in merged]], names=[*keep, "ref", "bases", "quals"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *[K.without(c, skip) for c in merged]], names=[*keep, "ref", "bases", "quals"])
 
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", ref string, bases string, quals array<int>")
