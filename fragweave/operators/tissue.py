@@ -27,8 +27,8 @@ def window_levels(counts: DataFrame, key: list[str], sample: str, methylated: st
     return counts.select(*key, sample, level.alias("level"))
 
 
-def most_variable(levels: DataFrame, key: list[str], quantile: float = 0.99) -> DataFrame:
-    """Windows whose deviation across samples exceeds the quantile of all window deviations.
+def window_variability(levels: DataFrame, key: list[str], quantile: float = 0.99) -> DataFrame:
+    """Deviation of every window across samples, and ``variable``: whether it exceeds the quantile of all of them.
 
     The cut is exact and found by counting passes, not by collecting deviations; the deviations are
     written once so that a pass does not repeat the aggregation.
@@ -36,7 +36,12 @@ def most_variable(levels: DataFrame, key: list[str], quantile: float = 0.99) ->
     sd = levels.groupBy(*key).agg(F.stddev_samp("level").alias("sd"), F.count("level").alias("n_level"), F.count(F.lit(1)).alias("n_sample"))
     sd = durable(sd, "deviations")
     cut = linear_quantile(sd, "sd", quantile)
-    return sd.where(F.col("sd") > cut)
+    return sd.withColumn("variable", F.coalesce(F.col("sd") > cut, F.lit(False)))
+
+
+def most_variable(levels: DataFrame, key: list[str], quantile: float = 0.99) -> DataFrame:
+    """Windows whose deviation across samples exceeds the quantile of all window deviations."""
+    return window_variability(levels, key, quantile).where("variable").drop("variable")
 
 
 def binary(level):

@@ -155,7 +155,7 @@ ORACLE = {
   union all select 'methylated', 0, 0, 0, cast(max(mu) filter (where i = 1) >= max(mu) filter (where i = 0) as double) from he where f = 2""",
     "window_levels": VEC + " select vec_id, cast(sample as int) as sample, round(level, 7) as level, case when level >= 0.1 then 1.0::double else 0.0::double end as binary from l",
     "most_variable_windows": VEC + """, s as (select vec_id, stddev_samp(level) as sd, count(level) as n_level, count(*) as n_sample from l group by vec_id)
-  select vec_id, round(sd, 7) as sd, n_level, n_sample from s where sd > (select quantile_cont(sd, 0.99) from s)""",
+  select vec_id, round(sd, 7) as sd, n_level, n_sample, coalesce(sd > (select quantile_cont(sd, 0.99) from s), false) as variable from s""",
     "gram_matrix": """with v as (select vec_id, unnest(range(64)) as k, cast(unnest(embedding) as double) as e from embeddings)
   select cast(a.k as int) as i, cast(b.k as int) as j, round(sum(a.e * b.e), 5) as value from v a join v b using (vec_id) group by all""",
 }

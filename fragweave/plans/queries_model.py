@@ -155,8 +155,9 @@ def window_levels(spark, sf):
 
 
 def most_variable_windows(spark, sf):
-    t = TI.most_variable(TI.window_levels(_vectors(spark, sf), ["vec_id"], "sample", "methylated", "coverage"), ["vec_id"])
-    return t.select("vec_id", F.round("sd", 7).alias("sd"), "n_level", "n_sample")
+    """Every window with its deviation; ``variable`` marks those above the 0.99 quantile."""
+    t = TI.window_variability(TI.window_levels(_vectors(spark, sf), ["vec_id"], "sample", "methylated", "coverage"), ["vec_id"])
+    return t.select("vec_id", F.round("sd", 7).alias("sd"), "n_level", "n_sample", "variable")
 
 
 def gram_matrix(spark, sf):
