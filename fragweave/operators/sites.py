@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fragweave.functions import reads as R
 from fragweave.operators import skew
 from fragweave.operators.intervals import BIN, Span, overlap_pairs
+from fragweave.operators.tracks import window_record_stats
+from fragweave.session import durable
 
 DECILES = list(range(10, 101, 10))
 
@@ -56,16 +58,19 @@ def fragment_matrix_from_bed(sites: DataFrame, frags: DataFrame, *, min_mapq: in
     ``sites``: chr, start_, end_, strand, prior (distinct). ``frags``: f_chr, f_start, f_end,
     f_name, f_mapq, f_strand. Coverage counts fragments of both strands; only those of the site's
     strand yield rows. Calls are taken as methylated with quality 40.
+
+    Coverage comes from running counts, before any fragment meets a site, so that no pair is made at
+    a site that is left out and pairs are at most ``max_coverage`` a site.
     """
     good = frags.where((F.col("f_mapq") >= min_mapq) & (F.col("f_end") - F.col("f_start") <= max_len))
     n = total_reads(good) if total_fragments is None else total_fragments
     closed = good.withColumns({"_flo": F.col("f_start") + 1, "_fhi": F.col("f_end")})
     probe = sites.withColumns({"_slo": F.col("start_") + 1, "_shi": F.col("end_")})
-    pairs = overlap_pairs(closed, probe, Span("f_chr", "_flo", "_fhi"), Span("chr", "_slo", "_shi"))
-    key = ["f_chr", "start_", "end_"]
-    depth = normalised_coverage(pairs, key, n, max_coverage=max_coverage, strict=False)
-    hot = skew.hot_keys(depth, key, weight="n_reads")
-    rows = skew.attach(pairs.where(F.col("f_strand") == F.col("strand")), depth, key, "inner", hot=hot)
+    spots, ends = Span("chr", "_slo", "_shi"), Span("f_chr", "_flo", "_fhi")
+    depth = window_record_stats(probe.select(*spots).distinct(), closed.withColumn("_one", F.lit(1)), spots, ends, "_one", 0, copies=False)
+    depth = depth.where(F.col("n").between(1, max_coverage)).select(*spots, (F.col("n") / (n / 1e6)).alias("norm_cov"))
+    pairs = overlap_pairs(closed, durable(probe.join(depth, list(spots)), "covered-sites"), ends, spots)
+    rows = pairs.where(F.col("f_strand") == F.col("strand"))
     left, right = F.col("end_") - F.col("f_start") + 1, F.col("f_end") - F.col("end_") + 1
     return rows.select(
         F.col("f_chr").alias("chr"), "start_", "end_", F.col("f_name").alias("read_name"),
@@ -105,13 +110,11 @@ def feature_rows(hits: DataFrame, total: int, *, min_base_q: int = 5, max_covera
 
 
 def site_bedgraph(sites: DataFrame, calls: DataFrame, sspan: Span, cspan: Span, state: str) -> DataFrame:
-    """Methylated fraction and depth per site from per-read m/u records; sites without any are dropped."""
-    named = calls.where(F.lower(state).isin("m", "u"))
-    pairs = overlap_pairs(named, sites, cspan, sspan)
-    t = pairs.groupBy(F.col(cspan.chrom).alias("chr"), sspan.lo, sspan.hi).agg(
-        F.count_if(F.lower(state) == "m").alias("_m"), F.count(F.lit(1)).alias("depth"))
-    return t.select("chr", (F.col(sspan.lo) - 1).alias("start_"), F.col(sspan.hi).alias("end_"),
-                    (F.col("_m") / F.col("depth")).alias("fraction"), "depth")
+    """Methylated fraction and depth per site from per-read m/u records, by running counts; sites without any are dropped."""
+    named = calls.where(F.lower(state).isin("m", "u")).withColumn("_is_m", (F.lower(state) == "m").cast("double"))
+    t = window_record_stats(sites.select(*sspan).distinct(), named, sspan, cspan, "_is_m", 0).where(F.col("n") > 0)
+    return t.select(F.col(sspan.chrom).alias("chr"), (F.col(sspan.lo) - 1).alias("start_"), F.col(sspan.hi).alias("end_"),
+                    (F.col("total") / F.col("n")).alias("fraction"), F.col("n").alias("depth"))
 
 
 def site_distribution(reads: DataFrame, site: list[str], metrics: dict[str, Column], *, percentiles: list[int] | None = None) -> DataFrame:

@@ -38,11 +38,12 @@ def _asks(windows: DataFrame, keys: list[str], bin_size: int) -> DataFrame:
 
 
 def window_record_stats(sites: DataFrame, track: DataFrame, span: Span, tspan: Span, value: str, ext: int, *,
-                        bin_size: int | None = None) -> DataFrame:
+                        bin_size: int | None = None, copies: bool = True) -> DataFrame:
     """Number ``n`` and sum ``total`` of the track records that overlap ``[lo - ext, hi + ext]``.
 
     ``sites`` must be distinct on ``span``. Records with a missing value are left out; each record
-    counts once however long it is. The window starts at position 1 at the least.
+    counts once however long it is. The window starts at position 1 at the least. Where few records
+    share both ends (``copies=False``) only their ends are combined, of which a bin has no more than positions.
     """
     size = bin_size or max(4096, 4 * ext)
     windows = sites.select(
@@ -53,7 +54,10 @@ def window_record_stats(sites: DataFrame, track: DataFrame, span: Span, tspan: S
     rec = track.where(v.isNotNull() & ~F.isnan(v)).select(
         F.col(tspan.chrom).alias("_c"), F.col(tspan.lo).cast("long").alias("_lo"), F.col(tspan.hi).cast("long").alias("_hi"),
         v.alias("_v"))
-    rec = rec.groupBy("_c", "_lo", "_hi").agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_k"))
+    if copies:
+        rec = rec.groupBy("_c", "_lo", "_hi").agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_k"))
+    else:
+        rec = rec.withColumn("_k", F.lit(1).cast("long"))
     rec = rec.withColumn("_bin", F.explode(bin_range(F.col("_lo"), F.col("_hi"), size)))
     starts_here = F.floor(F.col("_lo") / size) == F.col("_bin")
     begin = F.greatest(F.col("_lo"), F.col("_bin") * size)
