@@ -69,11 +69,11 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lspan: Span, rspan: Span, *
     interval is matched once and its rows take the matches by an equality join, which tries no pair in vain.
     """
     equal = equal or {}
-    spans = left.groupBy(*lspan, *equal).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(dict.fromkeys([*lspan, *equal]))  # points have one column for both ends
+    spans = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n_spans, n_rows = spans.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if (n_rows or 0) < SHARED * n_spans:
         return _overlap(left, right, lspan, rspan, bin_size, equal, hot_rows, broadcast_rows)
-    keys = [*lspan, *equal]
     spans = durable(spans, "spans")
     found = _overlap(spans.drop("_n"), right, lspan, rspan, bin_size, equal, hot_rows, broadcast_rows)
     found = skew.sized(found, broadcast_rows)
