@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -106,9 +105,37 @@ def kmer_counts(seqs: Flat, reverse: np.ndarray, first: int, last: int) -> Itera
         yield KmerCounts(of, strings(letters.ravel(), np.full(len(key), k)), count, windows)
 
 
+# calls of cytosines
+
+class ReadCalls(NamedTuple):
+    """Every base over a cytosine of its molecule that is converted or kept, in order."""
+
+    row: np.ndarray
+    offset: np.ndarray  # in the read
+    qual: np.ndarray
+    methylated: np.ndarray
+    cpg: np.ndarray  # inside a CpG
+
+
+def read_calls(ref: Flat, bases: Flat, quals: np.ndarray, negative: np.ndarray) -> ReadCalls:
+    """On the minus strand the G is inspected. The outermost base has no neighbour to tell its context, so it is no call outside a CpG."""
+    if not (len(bases.data) == len(ref.data) == len(quals) and (bases.length == ref.length).all()):
+        raise ValueError("bases, reference and qualities of a read must be equally long")
+    c, g, a, t = b"CGAT"
+    r, b, row = _UPPER[ref.data], _UPPER[bases.data], ref.row
+    minus = negative[row]
+    at = np.flatnonzero(np.where(minus, (r == g) & ((b == g) | (b == a)), (r == c) & ((b == c) | (b == t))))
+    row, minus = row[at], minus[at]
+    beside = at + np.where(minus, -1, 1)
+    inside = (beside >= ref.offsets[row]) & (beside < ref.offsets[row + 1])
+    cpg = inside & (r[np.where(inside, beside, at)] == np.where(minus, c, g))
+    keep = cpg | inside
+    at, row, minus, cpg = at[keep], row[keep], minus[keep], cpg[keep]
+    return ReadCalls(row, at - ref.offsets[row], quals[at], b[at] == np.where(minus, g, c), cpg)
+
+
 # mates
 
-@lru_cache(maxsize=100_000)
 def reference_steps(cigar: str) -> tuple[np.ndarray, int]:
     """For each read base how far behind the alignment's start it lies (-1: inserted or clipped), and the reference length."""
     out, at = [], 0
@@ -143,7 +170,8 @@ def mate(start: np.ndarray, cigar: pa.Array, ref: pa.Array, bases: pa.Array, qua
     """Reference letters and qualities stand under every base, so all three are equally long; rows to skip are empty."""
     b, r = flat(without(bases, skip)), flat(without(ref, skip))
     q = flat_numbers(without(quals, skip))
-    steps = [(np.zeros(0, np.int64), 0) if s else reference_steps(c) for c, s in zip(cigar.to_pylist(), skip.tolist(), strict=True)]
+    known = {c: reference_steps(c) for c in without(cigar, skip).unique().to_pylist() if c is not None}
+    steps = [(np.zeros(0, np.int64), 0) if s else known[c] for c, s in zip(cigar.to_pylist(), skip.tolist(), strict=True)]
     step = np.concatenate([s for s, _ in steps]) if steps else np.zeros(0, np.int64)
     if not (len(b.data) == len(r.data) == len(q) == len(step) and (b.length == [len(s) for s, _ in steps]).all() and (b.length == r.length).all()):
         raise ValueError("bases, reference, qualities and CIGAR of a read must be equally long")

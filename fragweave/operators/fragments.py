@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +213,39 @@ def fragment_kmer_maps(seqs: DataFrame, key: list[str], seq: str, first: int, la
     return maps.select(*key, *[F.coalesce(F.try_element_at("frag_kmers", F.lit(k)), F.lit(0.0)).alias(f"frag_{k}") for k in selected])
 
 
+def call_counts(reads: DataFrame, keep: list[str], *, min_base_q: int, start: int) -> DataFrame:
+    """Methylated and unmethylated calls of every read (ref, bases, quals, molecule: whether on the minus strand).
+
+    ``m`` and ``u`` count calls in CpG of any quality, ``.._good`` those of ``min_base_q`` at least, ``.._inner`` those
+    of them not among the ``start`` bases of the converted end, ``.._ch`` good calls outside CpG. ``calls`` lists the
+    inner ones as offset:state; a minus strand call is at the offset of its C. Reads are called where they stand.
+    """
+    source = reads.select(*keep, "ref", "bases", F.col("quals").cast("array<int>").alias("quals"), F.col("molecule").alias("_minus"))
+    n_keep = len(keep)
+    counts = ("m", "u", "m_good", "u_good", "m_inner", "u_inner", "m_ch", "u_ch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                ref, bases, quals, minus = batch.columns[n_keep:]
+                ref, minus = K.flat(ref), minus.to_numpy(zero_copy_only=False)
+                x = K.read_calls(ref, K.flat(bases), K.flat_numbers(quals), minus)
+                good = x.qual >= min_base_q
+                inner = good & x.cpg & np.where(minus[x.row], x.offset < ref.length[x.row] - start, x.offset >= start)
+                sums = [np.bincount(x.row[pick & (x.methylated == state)], minlength=batch.num_rows).astype(np.int32)
+                        for pick in (x.cpg, x.cpg & good, inner, good & ~x.cpg) for state in (True, False)]
+                at, row = np.flatnonzero(inner), x.row[inner]
+                states = x.methylated[at].astype(np.int8)
+                texts = pa.array([f"{o}:{s}" for o, s in zip((x.offset[at] - minus[row]).tolist(), states.tolist(), strict=True)], pa.string())
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+                calls = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts), ",")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *map(pa.array, sums), calls], names=[*keep, *counts, "calls"])
+
+    types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
+    return source.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} int" for c in counts]) + ", calls string")
+
+
 MATE_COLUMNS = ("start", "cigar", "ref", "bases", "quals")
 
 

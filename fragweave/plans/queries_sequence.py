@@ -111,16 +111,7 @@ def conversion_filter(spark, sf):
 
 
 def cpg_counts(spark, sf):
-    t = B.aligned_reads(spark, sf)
-    ref, bases, q, mol = (F.col(c) for c in ("ref", "bases", "quals", "molecule"))
-    t = t.select("doc_id", "i", "molecule", F.length("ref").alias("n"), R.base_table(ref, bases, q).alias("x"))
-    x = F.col("x")
-    t = t.select("doc_id", "i", R.cpg_calls_of(x, mol, None).alias("plain"), R.cpg_calls_of(x, mol, 10).alias("good"),
-                 R.cpg_calls_of(x, mol, 10, start=20, length=F.col("n")).alias("inner"), R.ch_counts_of(x, mol, 10).alias("ch"))
-    n = lambda c, s: R.count_states(F.col(c), s).cast("int")
-    offs = F.array_join(F.transform("inner", lambda c: F.concat_ws(":", c["offset"].cast("string"), c["state"].cast("string"))), ",")
-    return t.select("doc_id", "i", n("plain", 1).alias("m"), n("plain", 0).alias("u"), n("good", 1).alias("m_good"), n("good", 0).alias("u_good"),
-                    n("inner", 1).alias("m_inner"), n("inner", 0).alias("u_inner"), F.col("ch.m").alias("m_ch"), F.col("ch.u").alias("u_ch"), offs.alias("calls"))
+    return FR.call_counts(B.aligned_reads(spark, sf), ["doc_id", "i"], min_base_q=10, start=20)
 
 
 def cpg_locations(spark, sf):
