@@ -20,6 +20,7 @@ _CODE[list(BASES)] = _CODE[list(BASES.lower())] = range(4)
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[97:123] -= 32
 ROW = 1 << 34  # above any position inside a contig
+TABLE = 1 << 22  # k-mers of a slice are counted in a table of so many entries at most
 
 
 class Flat(NamedTuple):
@@ -47,6 +48,16 @@ def flat(column: pa.Array) -> Flat:
     return Flat(data[offsets[0]:offsets[-1]], offsets - offsets[0], null)
 
 
+def slices(whole: pa.RecordBatch, text: int, rows: int = 2000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and ``size`` bytes of the text column of that number; a longer text is a part of its own."""
+    ends, lo = flat(whole.column(text)).offsets, 0
+    while lo < whole.num_rows:
+        hi = min(lo + rows, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
+        hi = max(hi, lo + 1)
+        yield whole.slice(lo, hi - lo)
+        lo = hi
+
+
 def flat_numbers(column: pa.Array) -> np.ndarray:
     """All numbers of a list column, one after the other."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,12 +81,21 @@ class KmerCounts(NamedTuple):
     """One row for each k-mer of each sequence, and the windows each k-mer length has in it."""
 
     row: np.ndarray
+    code: np.ndarray  # place of the k-mer among all of its length
     kmer: pa.Array
     n: np.ndarray
     windows: np.ndarray
 
 
-def kmer_counts(seqs: Flat, reverse: np.ndarray, first: int, last: int) -> Iterator[KmerCounts]:
+def _letters(code: np.ndarray, k: int) -> np.ndarray:
+    letters = np.empty((len(code), k), np.uint8)
+    for j in range(k - 1, -1, -1):
+        letters[:, j] = np.frombuffer(BASES, np.uint8)[code % 4]
+        code = code // 4
+    return letters
+
+
+def kmer_counts(seqs: Flat, reverse: np.ndarray | None, first: int, last: int) -> Iterator[KmerCounts]:
     """Counts of all k-mers of length ``first`` to ``last``, one length after the other.
 
     Codes roll: a window's code is four times that of the window one shorter, plus the next base. A
@@ -83,26 +103,38 @@ def kmer_counts(seqs: Flat, reverse: np.ndarray, first: int, last: int) -> Itera
     marked ``reverse`` are read as their reverse complement.
     """
     n, row, end = len(seqs.data), seqs.row, np.repeat(seqs.offsets[1:], seqs.length)
-    turned = np.repeat(reverse, seqs.length)
-    at = np.where(turned, np.repeat(seqs.offsets[:-1], seqs.length) + end - 1 - np.arange(n), np.arange(n))
-    base = _CODE[seqs.data[at]]
-    base = np.where((base >= 0) & turned, 3 - base, base)
+    base = _CODE[seqs.data]
+    if reverse is not None and reverse.any():
+        turned = np.repeat(reverse, seqs.length)
+        base = base[np.where(turned, np.repeat(seqs.offsets[:-1], seqs.length) + end - 1 - np.arange(n), np.arange(n))]
+        base = np.where((base >= 0) & turned, 3 - base, base)
+    left = end - np.arange(n)
     code, good = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(1, last + 1):
-        inside = np.arange(n) + k <= end
-        ahead = np.where(inside, base[np.minimum(np.arange(n) + k - 1, max(n - 1, 0))], -1) if n else base
-        good &= ahead >= 0
+        ahead = np.concatenate([base[k - 1:], np.full(min(k - 1, n), -1)])
+        good &= (ahead >= 0) & (left >= k)
         code = code * 4 + ahead
         if k < first:
             continue
-        key, count = np.unique(row[good] * 4 ** k + code[good], return_counts=True)
+        key = row[good] * 4 ** k + code[good]
+        if len(seqs.null) * 4 ** k <= TABLE:
+            table = np.bincount(key)
+            key = np.flatnonzero(table)
+            count = table[key]
+        else:
+            key, count = np.unique(key, return_counts=True)
         number, of = key % 4 ** k, key // 4 ** k
-        letters = np.empty((len(key), k), np.uint8)
-        for j in range(k - 1, -1, -1):
-            letters[:, j] = np.frombuffer(BASES, np.uint8)[number % 4]
-            number = number // 4
+        letters = _letters(np.arange(4 ** k), k)[number] if 4 ** k < len(number) else _letters(number, k)
         windows = np.maximum(seqs.length - k + 1, 0)[of]
-        yield KmerCounts(of, strings(letters.ravel(), np.full(len(key), k)), count, windows)
+        yield KmerCounts(of, number, strings(letters.ravel(), np.full(len(key), k)), count, windows)
+
+
+def kmer_percentages(seqs: Flat, k: int) -> np.ndarray:
+    """Percentage of every k-mer among the windows of each sequence: a row a sequence, a column a k-mer."""
+    out = np.zeros((len(seqs.null), 4 ** k))
+    for found in kmer_counts(seqs, None, k, k):
+        out[found.row, found.code] = 100.0 * found.n / found.windows
+    return out
 
 
 # calls of cytosines
@@ -134,8 +166,88 @@ def read_calls(ref: Flat, bases: Flat, quals: np.ndarray, negative: np.ndarray)
     return ReadCalls(row, at - ref.offsets[row], quals[at], b[at] == np.where(minus, g, c), cpg)
 
 
+def states(ref: Flat, bases: Flat, quals: np.ndarray, negative: np.ndarray, min_base_q: int) -> np.ndarray:
+    """1 at a methylated, 0 at an unmethylated call in a CpG of ``min_base_q`` at least, -1 at every other base."""
+    x = read_calls(ref, bases, quals, negative)
+    keep = x.cpg & (x.qual >= min_base_q)
+    out = np.full(len(ref.data), -1, np.int8)
+    out[ref.offsets[x.row[keep]] + x.offset[keep]] = x.methylated[keep]
+    return out
+
+
+def cpg_marks(ref: Flat, negative: np.ndarray) -> np.ndarray:
+    """True at the C of every CpG, for negative rows at its G."""
+    first = pattern_starts(ref, b"CG")
+    out = np.zeros(len(ref.data), bool)
+    out[first + negative[ref.row[first]]] = True
+    return out
+
+
+def pattern_starts(seqs: Flat, pattern: bytes) -> np.ndarray:
+    """Where the pattern begins in the data, overlapping ones included; none reaches into the next row."""
+    n = max(len(seqs.data) - len(pattern) + 1, 0)
+    hit = np.ones(n, bool)
+    for j, letter in enumerate(pattern):
+        hit &= _UPPER[seqs.data[j:j + n]] == letter
+    at = np.flatnonzero(hit)
+    return at[at + len(pattern) <= seqs.offsets[np.searchsorted(seqs.offsets, at, "right")]]
+
+
+def around(values: np.ndarray, texts: Flat, first: np.ndarray, step: np.ndarray, width: int, empty: int) -> np.ndarray:
+    """For each row ``width`` values from its place ``first`` on, in steps of 1 or -1; ``empty`` outside the row."""
+    at = first[:, None] + step[:, None] * np.arange(width)
+    inside = (at >= 0) & (at < texts.length[:, None])
+    if not len(values):
+        return np.full(at.shape, empty, values.dtype)
+    return np.where(inside, values[np.where(inside, at + texts.offsets[:-1, None], 0)], empty).astype(values.dtype)
+
+
 # mates
 
+class Merged(NamedTuple):
+    """Merged mates, base by base."""
+
+    ref: np.ndarray
+    bases: np.ndarray
+    quals: np.ndarray
+    length: np.ndarray
+
+    def flat(self, letters: np.ndarray) -> Flat:
+        return Flat(letters, np.concatenate([[0], np.cumsum(self.length)]), np.zeros(len(self.length), bool))
+
+
+def merge_plain(ref: tuple[Flat, Flat], bases: tuple[Flat, Flat], quals: tuple[np.ndarray, np.ndarray], shift: np.ndarray,
+                first_is_left: np.ndarray, gap_extra: int = 2) -> Merged:
+    """Mates without gaps, the right one ``shift`` bases behind the left one, as ``reads.merged_fragment`` merges them.
+
+    The left mate is laid down whole. Where the other differs with a better quality, it wins, on ties the first end of the
+    pair. Then comes what the right mate has beyond the left one; N of quality 0 fill the stretch between mates that do not meet.
+    """
+    for r, b, q in zip(ref, bases, quals, strict=True):
+        if not (len(b.data) == len(r.data) == len(q) and (b.length == r.length).all()):
+            raise ValueError("bases, reference and qualities of a read must be equally long")
+    left, right = bases
+    (n1, n2), far = (left.length, right.length), len(left.data)
+    letters = np.concatenate([left.data, right.data, np.frombuffer(b"N", np.uint8)])
+    below = np.concatenate([ref[0].data, ref[1].data, np.frombuffer(b"N", np.uint8)])
+    q = np.concatenate([*quals, [0]])
+    row, own = left.row, np.arange(far)
+    over = own - left.offsets[row] - shift[row]
+    shared = (over >= 0) & (over < n2[row])
+    across = np.where(shared, far + right.offsets[row] + over, far)
+    better = np.where(first_is_left[row], q[own] < q[across], q[own] <= q[across])
+    own = np.where(shared & (_UPPER[letters[own]] != _UPPER[letters[across]]) & better, across, own)
+    gap = np.where(shift >= n1, np.maximum(shift - n1 + gap_extra, 0), 0)
+    skip = np.maximum(n1 - shift, 0)
+    tail = np.maximum(n2 - skip, 0)
+    total = n1 + gap + tail
+    begin = np.cumsum(total) - total
+    out = np.full(int(total.sum()), len(letters) - 1)
+    out[spans(begin, n1)] = own
+    out[spans(begin + n1 + gap, tail)] = spans(far + right.offsets[:-1] + skip, tail)
+    return Merged(below[out], letters[out], q[out], total)
+
+
 def reference_steps(cigar: str) -> tuple[np.ndarray, int]:
     """For each read base how far behind the alignment's start it lies (-1: inserted or clipped), and the reference length."""
     out, at = [], 0

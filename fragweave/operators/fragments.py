@@ -86,22 +86,28 @@ def cpg_density(matrix: DataFrame, *, hot_rows: int = skew.HOT_ROWS) -> DataFram
     return skew.attach(matrix, dim, ["read_name"], "left", hot_rows, hot)
 
 
+def _types(df: DataFrame, cols: list[str]) -> list[str]:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"`{c}` {types[c]}" for c in cols]
+
+
 def kmer_frequencies(seqs: DataFrame, key: list[str], seq: str, k: int, *, long: bool = False) -> DataFrame:
     """Percentage of every k-mer among the windows of each sequence, zeros included.
 
-    K-mers are counted map side, so what is shuffled is one small row per sequence and k-mer.
-    With ``long`` only k-mers that occur are returned, one row each; otherwise one column per k-mer.
+    ``key`` tells the sequences apart. With ``long`` only k-mers that occur are returned, one row each; otherwise one
+    column per k-mer. Sequences are counted where they stand, slice by slice; nothing is shuffled.
     """
-    # The text itself must not travel with the exploded rows, so the array is made first.
-    found = seqs.select(*key, S.kmer_windows(seq, k).alias("_w"), S.kmers(seq, k).alias("_k"))
-    data = found.select(*key, "_w", F.explode_outer("_k").alias("kmer"))
     if long:
-        t = data.where(F.col("kmer").isNotNull()).groupBy(*key, "kmer", "_w").agg(F.count(F.lit(1)).alias("n"))
-        return t.select(*key, "kmer", "n", (100.0 * F.col("n") / F.col("_w")).alias("freq"))
-    names = S.all_kmers(k)
-    t = data.groupBy(*key, "_w", "kmer").agg(F.count("kmer").alias("n")).groupBy(*key, "_w")
-    t = t.agg(*[F.coalesce(F.max(F.when(F.col("kmer") == m, F.col("n"))), F.lit(0)).alias(m) for m in names])
-    return t.select(*key, *[F.coalesce(F.try_divide(100.0 * F.col(m), F.col("_w")), F.lit(0.0)).alias(m) for m in names])
+        return fragment_kmers(seqs, key, seq, k, k)
+    source, n_key, names = seqs.select(*key, F.col(seq).alias("_seq")), len(key), S.all_kmers(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, n_key):
+                texts = K.flat(batch.column(n_key))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_key], *map(pa.array, K.kmer_percentages(texts, k).T)], names=[*key, *names])
+
+    return source.mapInArrow(run, ", ".join(_types(source, key) + [f"{m} double" for m in names]))
 
 
 def positional_correlation(calls: DataFrame, name: list[str], pos: str, value: str) -> DataFrame:
@@ -188,8 +194,7 @@ def fragment_kmers(seqs: DataFrame, key: list[str], seq: str, first: int, last:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
+            for batch in K.slices(whole, n_key):
                 for found in K.kmer_counts(K.flat(batch.column(n_key)), np.asarray(batch.column(n_key + 1)), first, last):
                     row = pa.array(found.row)
                     freq = 100.0 * found.n / np.maximum(found.windows, 1)
@@ -246,6 +251,60 @@ def call_counts(reads: DataFrame, keep: list[str], *, min_base_q: int, start: in
     return source.mapInArrow(run, ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} int" for c in counts]) + ", calls string")
 
 
+def _plain_mates(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    parts = [F.col(f"{c}{k}").cast("array<int>" if c == "quals" else "string").alias(f"_{c}{k}") for k in (1, 2) for c in ("ref", "bases", "quals")]
+    return pairs.select(*keep, *parts, F.col("start2").cast("bigint").alias("_shift"), F.col("first_is_left").alias("_left"))
+
+
+def _merged_batches(batches: Iterator[pa.RecordBatch], n_keep: int, gap_extra: int) -> Iterator[tuple[list[pa.Array], K.Merged, np.ndarray]]:
+    """Kept columns, merged mates and which pairs lack a part (merged as empty) of every slice."""
+    for whole in batches:
+        for batch in K.slices(whole, n_keep):
+            own = batch.columns[n_keep:]
+            skip = np.any([np.asarray(c.is_null()) for c in own], axis=0)
+            ref, bases, quals = ([K.without(own[j], skip), K.without(own[j + 3], skip)] for j in range(3))
+            shift = np.where(skip, 0, own[6].fill_null(0).to_numpy(zero_copy_only=False))
+            yield batch.columns[:n_keep], K.merge_plain(tuple(map(K.flat, ref)), tuple(map(K.flat, bases)), tuple(map(K.flat_numbers, quals)), shift,
+                                                        own[7].fill_null(True).to_numpy(zero_copy_only=False), gap_extra), skip
+
+
+def merge_mates(pairs: DataFrame, keep: list[str], *, gap_extra: int = 2) -> DataFrame:
+    """Merge the ungapped mates of every pair: ``keep``, ref, bases and quals.
+
+    ``pairs`` has ref1, bases1, quals1 of the mate that begins first, the same with 2 for the other, start2 (its start
+    behind the first one's) and first_is_left. The better quality wins, on ties the first end; mates that do not meet are
+    joined by N, ``gap_extra`` more than lie between them. A pair with any part missing gives nulls.
+    """
+    source, n_keep = _plain_mates(pairs, keep), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, m, skip in _merged_batches(batches, n_keep, gap_extra):
+            ends = pa.array(np.concatenate([[0], np.cumsum(m.length)]).astype(np.int32))
+            quals = pa.ListArray.from_arrays(ends, pa.array(m.quals.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*kept, K.strings(m.ref, m.length, skip), K.strings(m.bases, m.length, skip), K.without(quals, skip)],
+                                             names=[*keep, "ref", "bases", "quals"])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), "ref string", "bases string", "quals array<int>"]))
+
+
+def merged_metrics(pairs: DataFrame, keep: list[str], k: int, *, min_base_q: int = 0, gap_extra: int = 2) -> DataFrame:
+    """Of every pair merged as by ``merge_mates``: methylated (m) and other (u) calls in CpG of ``min_base_q`` at least on the
+    plus strand, gc_perc, and the percentage of every k-mer of the reference. Fragments are merged and measured where they stand."""
+    source, n_keep, names = _plain_mates(pairs, keep), len(keep), S.all_kmers(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, m, skip in _merged_batches(batches, n_keep, gap_extra):
+            ref, n = m.flat(m.ref), len(skip)
+            state, row = K.states(ref, m.flat(m.bases), m.quals, np.zeros(n, bool), min_base_q), ref.row
+            calls = [pa.array(np.bincount(row[state == s], minlength=n).astype(np.int32), mask=skip) for s in (1, 0)]
+            gc = np.bincount(row[np.isin(m.ref, np.frombuffer(b"GCgc", np.uint8))], minlength=n)
+            gc = pa.array(100.0 * gc / np.maximum(m.length, 1), mask=skip | (m.length == 0))
+            shares = [pa.array(c, mask=skip) for c in K.kmer_percentages(ref, k).T]
+            yield pa.RecordBatch.from_arrays([*kept, *calls, gc, *shares], names=[*keep, "m", "u", "gc_perc", *names])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), "m int", "u int", "gc_perc double", *[f"{m} double" for m in names]]))
+
+
 MATE_COLUMNS = ("start", "cigar", "ref", "bases", "quals")
 
 

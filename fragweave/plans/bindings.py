@@ -75,6 +75,16 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     return fill_cluster(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", seq.alias("seq"))
 
 
+def qualities(text: str, step: int, plus: int = 0) -> Column:
+    """(j * step + k + plus) % 41 of every letter j of a read; a piece of one literal array, as the numbers repeat."""
+    c = F.col("k") + plus
+    row = F.lit([j * step % 41 for j in range(41 + READ_LEN)])
+    begin = (c * pow(step, -1, 41) % 41 + 1).cast("int")
+    # Remainders of numbers below 0 change their sign on the way.
+    other = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda j: ((j * step + c) % 41).cast("int"))
+    return F.when(c >= 0, F.slice(row, begin, F.length(text))).otherwise(other)
+
+
 def aligned_reads(spark: SparkSession, sf: str) -> DataFrame:
     """The whole of every sequence cut into reads, with strands, ends, converted bases and qualities."""
     t = sequences(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{READ_LEN}}}"), F.lit(0))).alias("i", "ref"))
@@ -84,8 +94,7 @@ def aligned_reads(spark: SparkSession, sf: str) -> DataFrame:
     some = F.when(molecule, F.replace("ref", F.lit("CG"), F.lit("CA"))).otherwise(F.replace("ref", F.lit("CG"), F.lit("TG")))
     every = F.when(molecule, F.translate("ref", "G", "A")).otherwise(F.translate("ref", "C", "T"))
     bases = F.when(F.col("k") % 3 == 0, some).when(F.col("k") % 3 == 1, F.col("ref")).otherwise(every)
-    quals = F.transform(F.sequence(F.lit(0), F.length("ref") - 1), lambda j: ((j * 7 + F.col("k")) % 41).cast("int"))
-    return t.select("*", molecule.alias("molecule"), bases.alias("bases"), quals.alias("quals"))
+    return t.select("*", molecule.alias("molecule"), bases.alias("bases"), qualities("ref", 7).alias("quals"))
 
 
 def read_mates(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,10 +107,9 @@ def read_mates(spark: SparkSession, sf: str) -> DataFrame:
     start2 = F.when(F.length("tile") <= 90, F.lit(0)).when(F.col("i") % 5 == 0, F.lit(90)).otherwise(F.lit(60))
     ref1, ref2 = F.substring("tile", F.lit(1), F.col("size")), F.substring("tile", start2 + 1, F.col("size"))
     t = t.select("*", start2.alias("start2"), ref1.alias("ref1"), ref2.alias("ref2"))
-    q = lambda col, a, b: F.transform(F.sequence(F.lit(0), F.length(col) - 1), lambda j: ((j * a + F.col("k") + b) % 41).cast("int"))
     return t.select(
         "*", F.translate("ref1", "C", "T").alias("bases1"), F.replace("ref2", F.lit("CG"), F.lit("TG")).alias("bases2"),
-        q("ref1", 7, 0).alias("quals1"), q("ref2", 11, 3).alias("quals2"))
+        qualities("ref1", 7).alias("quals1"), qualities("ref2", 11, 3).alias("quals2"))
 
 
 def gapped_mates(spark: SparkSession, sf: str) -> DataFrame:

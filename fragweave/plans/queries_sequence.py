@@ -122,28 +122,19 @@ def cpg_locations(spark, sf):
                     F.array_join(F.transform(s, lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("."))), "").alias("states"))
 
 
-def _merged(spark, sf):
-    t = B.read_mates(spark, sf)
-    m = R.merged_fragment(F.lit(0), F.col("ref1"), F.col("bases1"), F.col("quals1"), F.col("start2"), F.col("ref2"), F.col("bases2"), F.col("quals2"),
-                          F.col("first_is_left"))
-    return t.select("*", m.alias("m"))
-
-
 def merged_fragments(spark, sf):
-    return _merged(spark, sf).select("doc_id", "i", "m.ref", "m.bases", F.aggregate("m.quals", F.lit(0), lambda a, x: a + x).alias("qual_sum"))
+    t = FR.merge_mates(B.read_mates(spark, sf), ["doc_id", "i"])
+    return t.select("doc_id", "i", "ref", "bases", F.aggregate("quals", F.lit(0), lambda a, x: a + x).alias("qual_sum"))
 
 
 def fragment_metrics(spark, sf):
     """Methylation, density, GC and 2-mer percentages of merged fragments."""
-    t = _merged(spark, sf).select("doc_id", "i", F.col("m.ref").alias("ref"), F.col("m.bases").alias("bases"), F.col("m.quals").alias("quals"),
-                                  F.length("ref1").alias("n1"), F.length("ref2").alias("n2"), (F.col("start2") + F.length("ref2")).alias("frag_len"))
-    calls = R.cpg_calls(F.col("ref"), F.col("bases"), F.col("quals"), F.lit(False), min_base_q=5)
-    t = t.withColumn("calls", calls)
-    m, u = R.count_states(F.col("calls"), 1), R.count_states(F.col("calls"), 0)
-    t = t.select("doc_id", "i", "ref", m.cast("int").alias("m"), u.cast("int").alias("u"), F.try_divide(100.0 * m, m + u).alias("methy_frac"),
-                 FR.methyl_density(m, F.col("frag_len"), F.col("n1"), F.col("n2")).alias("density"), S.gc_percent("ref").alias("gc_perc"))
-    k = FR.kmer_frequencies(t, ["doc_id", "i", "m", "u", "methy_frac", "density", "gc_perc"], "ref", 2)
-    return k.select("doc_id", "i", "m", "u", *[F.round(c, 7).alias(c) for c in ("methy_frac", "density", "gc_perc", "AA", "CG", "GC", "TT")])
+    n1, n2 = F.length("ref1"), F.length("ref2")
+    t = B.read_mates(spark, sf).withColumns({"n1": n1, "n2": n2, "frag_len": F.col("start2") + n2})
+    t = FR.merged_metrics(t, ["doc_id", "i", "n1", "n2", "frag_len"], 2, min_base_q=5)
+    m, u = F.col("m"), F.col("u")
+    t = t.withColumns({"methy_frac": F.try_divide(100.0 * m, m + u), "density": FR.methyl_density(m, F.col("frag_len"), F.col("n1"), F.col("n2"))})
+    return t.select("doc_id", "i", "m", "u", *[F.round(c, 7).alias(c) for c in ("methy_frac", "density", "gc_perc", "AA", "CG", "GC", "TT")])
 
 
 def fragment_digits(spark, sf):
