@@ -75,6 +75,15 @@ def strings(data: np.ndarray, length: np.ndarray, null: np.ndarray | None = None
     return pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)), valid)
 
 
+def pieces(texts: Flat, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row, place in it and letters of consecutive pieces of ``size`` letters, each with the ``overlap`` letters after it."""
+    count = -(-texts.length // size)
+    row = np.repeat(np.arange(len(texts.null)), count)
+    at = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
+    length = np.minimum(texts.length[row] - at, size + overlap)
+    return row, at, strings(texts.data[spans(texts.offsets[row] + at, length)], length)
+
+
 # k-mers
 
 class KmerCounts(NamedTuple):

@@ -337,6 +337,59 @@ def merge_gapped_mates(pairs: DataFrame, keep: list[str], *, gap_extra: int = 2)
     return source.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", ref string, bases string, quals array<int>")
 
 
+def cut_sequences(seqs: DataFrame, chrom: str, seq: str, size: int, overlap: int = 0) -> DataFrame:
+    """Sequences as a genome table: chr, chunk_start, bases of ``size`` bases, each with the ``overlap`` bases that follow it."""
+    source = seqs.select(F.col(chrom).alias("chr"), F.col(seq).alias("_seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, 1):
+                row, at, bases = K.pieces(K.flat(batch.column(1)), size, overlap)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at), bases], names=["chr", "chunk_start", "bases"])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, ["chr"]), "chunk_start bigint", "bases string"]))
+
+
+def pattern_sites(seqs: DataFrame, keep: list[str], seq: str, pattern: str) -> DataFrame:
+    """Every occurrence of ``pattern`` in each sequence, overlapping ones included: ``keep``, pos0 and its number k from 0 on."""
+    source, n_keep = seqs.select(*keep, F.col(seq).alias("_seq")), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, n_keep):
+                texts = K.flat(batch.column(n_keep))
+                at = K.pattern_starts(texts, pattern.upper().encode())
+                row = np.searchsorted(texts.offsets, at, "right") - 1
+                k = np.arange(len(at)) - np.searchsorted(at, texts.offsets)[row]
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(row)) for c in batch.columns[:n_keep]], pa.array(at - texts.offsets[row]), pa.array(k)],
+                                                 names=[*keep, "pos0", "k"])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), "pos0 bigint", "k bigint"]))
+
+
+def cytosine_sites(seqs: DataFrame, keep: list[str], seq: str, *, edge: int = 0) -> DataFrame:
+    """Both cytosines of every CpG: ``keep``, end_ and strand; the G stands for the one of the minus strand. With ``edge``
+    also every C and G of the first and last ``edge`` bases, whose surroundings reach past the sequence."""
+    source, n_keep = seqs.select(*keep, F.col(seq).alias("_seq")), len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in K.slices(whole, n_keep):
+                texts = K.flat(batch.column(n_keep))
+                rest = np.minimum(texts.length, edge)
+                ends = np.concatenate([K.spans(texts.offsets[:-1], rest), K.spans(texts.offsets[1:] - rest, rest)])
+                ends = ends[np.isin(texts.data[ends], np.frombuffer(b"CGcg", np.uint8))]
+                first = K.pattern_starts(texts, b"CG")
+                at = np.unique(np.concatenate([first, first + 1, ends]))
+                row = np.searchsorted(texts.offsets, at, "right") - 1
+                minus = pa.array(np.isin(texts.data[at], np.frombuffer(b"Gg", np.uint8)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(pa.array(row)) for c in batch.columns[:n_keep]], pa.array((at - texts.offsets[row] + 1).astype(np.int32)),
+                     pa.compute.if_else(minus, "-", "+")], names=[*keep, "end_", "strand"])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), "end_ int", "strand string"]))
+
+
 def pair_reasons(reads: DataFrame, name: list[str], *, good: Column, max_len: int = 500) -> DataFrame:
     """Why each fragment is left out, or ``kept``: records, flags, orientation, too_long, lengths_differ, in this order.
 
@@ -357,15 +410,15 @@ def pair_reasons(reads: DataFrame, name: list[str], *, good: Column, max_len: in
 
 
 def strand_context(rows: DataFrame, genome: DataFrame, k: int, name: str = "context", *, strand: str = "strand", turn: bool = True,
-                   chunk: int = 1 << 16) -> DataFrame:
+                   chunk: int = 1 << 16, overlap: int = 0, distinct: bool = False) -> DataFrame:
     """Add the 2k + 2 reference bases around each site (chr, end_): k before the CpG, the CpG, k after it.
 
     A site on the minus strand is the G, so its window begins one base earlier; it is read as the
     reverse complement unless ``turn`` is off. One look-up by chunk serves both strands. Bases
-    outside the contig are missing.
+    outside the contig are missing. ``overlap`` and ``distinct`` are those of ``genome_lookup``.
     """
     from fragweave.sources.text import genome_lookup
 
     minus = F.col(strand) == "-"
-    out = genome_lookup(rows, genome, "chr", F.col("end_") - 1 - k - minus.cast("int"), 2 * k + 2, name, chunk=chunk)
+    out = genome_lookup(rows, genome, "chr", F.col("end_") - 1 - k - minus.cast("int"), 2 * k + 2, name, chunk=chunk, overlap=overlap, distinct=distinct)
     return out.withColumn(name, F.when(minus, S.reverse_complement(name)).otherwise(F.upper(name)) if turn else F.upper(name))

@@ -50,19 +50,16 @@ def iupac_table(spark, sf):
                     S.is_regular_base(a).alias("regular"), S.base_index(a).alias("base_index"), S.complement(a).alias("complement"))
 
 
-def _genome(spark, sf):
+def _genome(spark, sf, overlap):
     """Sequences as fixed chunks of a contig per document."""
-    t = B.sequences(spark, sf).select(F.col("doc_id").alias("chr"), F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{CHUNK}}}"), F.lit(0))).alias("k", "bases"))
-    return t.select("chr", (F.col("k") * CHUNK).cast("long").alias("chunk_start"), "bases")
+    return FR.cut_sequences(B.sequences(spark, sf), "doc_id", "seq", CHUNK, overlap)
 
 
 def flank_sequence(spark, sf):
     """Bases around every CpG of every text, fewer at its ends, by chunk lookup; reverse complement on the minus strand."""
-    pieces = B.sequences(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(".*?CG"), F.lit(0))).alias("k", "piece"))
-    upto = Window.partitionBy("doc_id").orderBy("k")
-    sites = pieces.select(F.col("doc_id").alias("chr"), (F.sum(F.length("piece")).over(upto) - 2).alias("pos0"), (F.col("k") % 2 == 1).alias("neg"))
+    sites = FR.pattern_sites(B.sequences(spark, sf), ["doc_id"], "seq", "CG").select(F.col("doc_id").alias("chr"), "pos0", (F.col("k") % 2 == 1).alias("neg"))
     k = 5
-    out = TX.genome_lookup(sites, _genome(spark, sf), "chr", F.col("pos0") - k, 2 * k + 1, "flank", chunk=CHUNK)
+    out = TX.genome_lookup(sites, _genome(spark, sf, 2 * k), "chr", F.col("pos0") - k, 2 * k + 1, "flank", chunk=CHUNK, overlap=2 * k, distinct=True)
     flank = F.when(F.col("neg"), S.reverse_complement("flank")).otherwise(F.col("flank"))
     return out.select("chr", F.col("pos0").cast("long").alias("pos0"), "neg", flank.alias("flank"))
 

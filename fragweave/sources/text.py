@@ -165,13 +165,15 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFram
 
 
 def genome_lookup(rows: DataFrame, genome: DataFrame, chrom: str, start0, length: int | Column, name: str, *, chunk: int = 1 << 16,
-                  longest: int | None = None) -> DataFrame:
+                  longest: int | None = None, overlap: int = 0, distinct: bool = False) -> DataFrame:
     """Add ``length`` bases from 0-based ``start0`` on; bases outside the contig are missing from the string.
 
     Where ``length`` is a column, ``longest`` bounds it, and a longer row is an error.
 
     Every chunk is first lengthened by the head of the next one (a join of two unique keys), so that
-    each row meets exactly one chunk.
+    each row meets exactly one chunk; chunks stored with an ``overlap`` of all but one of the bases to
+    look up (``fragments.cut_sequences``) have it already. ``distinct`` says that no two rows begin at one
+    place, but for those moved to a contig's start: then a chunk cannot be hot, and rows are not counted first.
     """
     from fragweave.operators import skew
 
@@ -181,13 +183,17 @@ def genome_lookup(rows: DataFrame, genome: DataFrame, chrom: str, start0, length
     if not isinstance(length, int):
         message = F.concat(F.lit(f"a look-up of more than {most} bases: "), length.cast("string"))
         length = F.when(length <= most, length).otherwise(F.raise_error(message).cast("bigint"))
-    heads = genome.select("chr", (F.col("chunk_start") - chunk).alias("chunk_start"), F.substring("bases", 1, most - 1).alias("_head"))
-    long = genome.join(heads, ["chr", "chunk_start"], "left")
-    long = long.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c0"), F.concat("bases", F.coalesce("_head", F.lit(""))).alias("_b"))
+    if overlap >= most - 1:
+        long = genome.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c0"), F.col("bases").alias("_b"))
+    else:
+        own = F.substring("bases", 1, chunk)
+        heads = genome.select("chr", (F.col("chunk_start") - chunk).alias("chunk_start"), F.substring("bases", 1, most - 1).alias("_head"))
+        long = genome.join(heads, ["chr", "chunk_start"], "left")
+        long = long.select(F.col("chr").alias(chrom), F.col("chunk_start").alias("_c0"), F.concat(own, F.coalesce("_head", F.lit(""))).alias("_b"))
     s = start0.cast("long")
     inside = F.greatest(s, F.lit(0).cast("long"))
     keyed = rows.withColumns({"_s": inside, "_n": ((F.lit(length) if isinstance(length, int) else length) - (inside - s)).cast("int"), "_c0": F.floor(inside / chunk) * chunk})
-    out = skew.attach(keyed, long, [chrom, "_c0"], "left")
+    out = skew.attach(keyed, long, [chrom, "_c0"], "left", **({"hot": None} if distinct else {}))
     piece = F.substring("_b", (F.col("_s") - F.col("_c0") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0)))
     return out.withColumn(name, F.coalesce(piece, F.lit(""))).drop("_s", "_n", "_c0", "_b")
 
