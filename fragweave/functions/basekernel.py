@@ -84,6 +84,15 @@ def pieces(texts: Flat, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray
     return row, at, strings(texts.data[spans(texts.offsets[row] + at, length)], length)
 
 
+_DIGIT = np.full(256, ord("5"), np.uint8)
+_DIGIT[list(b"ATCG")] = _DIGIT[list(b"atcg")] = list(b"1234")
+
+
+def base_digits(texts: Flat) -> np.ndarray:
+    """A1 T2 C3 G4, anything else 5, as letters."""
+    return _DIGIT[texts.data]
+
+
 # k-mers
 
 class KmerCounts(NamedTuple):

@@ -156,15 +156,61 @@ def fragments_near_sites(fragments: DataFrame, sites: DataFrame, key: str, mates
     return skew.attach(fragments, hit, [key], "left_semi")
 
 
-def fragment_digits(fragments: DataFrame, key: list[str], ref: str, bases: str, states: Column, width: int) -> DataFrame:
-    """Base strings and methylation vector of a fragment as padded digit strings.
+def _read_batches(batches: Iterator[pa.RecordBatch], n_keep: int, min_base_q: int) -> Iterator[tuple[list[pa.Array], list[K.Flat], np.ndarray, np.ndarray, np.ndarray]]:
+    """Kept columns, reference and bases, state of every base, strand, and which reads lack a part (empty) of every slice."""
+    for whole in batches:
+        for batch in K.slices(whole, n_keep):
+            own = batch.columns[n_keep:]
+            skip = np.any([np.asarray(c.is_null()) for c in own], axis=0)
+            ref, bases, quals = (K.without(c, skip) for c in own[:3])
+            minus = own[3].fill_null(False).to_numpy(zero_copy_only=False)
+            texts = [K.flat(ref), K.flat(bases)]
+            yield batch.columns[:n_keep], texts, K.states(*texts, K.flat_numbers(quals), minus, min_base_q), minus, skip
+
+
+def _called_reads(reads: DataFrame, keep: list[str]) -> DataFrame:
+    return reads.select(*keep, "ref", "bases", F.col("quals").cast("array<int>").alias("quals"), F.col("molecule").alias("_minus"))
+
+
+def fragment_digits(reads: DataFrame, keep: list[str], width: int, *, min_base_q: int = 0) -> DataFrame:
+    """Base strings and methylation vector of every read (ref, bases, quals, molecule: whether on the minus strand) as digit
+    strings of ``width``: longer reads are cut, shorter ones padded with 0.
 
-    Methylation digits: 1 no call, 2 methylated, 3 unmethylated, 0 padding; ``states`` has one
-    entry per base.
+    Base digits: A1 T2 C3 G4, anything else 5. Methylation digits: 1 no call in a CpG of ``min_base_q`` at least, 2 methylated, 3
+    unmethylated. A read with any part missing gives nulls. Reads are called where they stand.
     """
-    digits = F.transform(states, lambda s: F.when(s == 1, "2").when(s == 0, "3").otherwise("1"))
-    return fragments.select(*key, S.base_digits(ref, width).alias("ref_digits"), S.base_digits(bases, width).alias("base_digits"),
-                            F.rpad(F.array_join(digits, ""), width, "0").alias("methy_digits"))
+    source, n_keep, names = _called_reads(reads, keep), len(keep), ["ref_digits", "base_digits", "methy_digits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, texts, state, _, skip in _read_batches(batches, n_keep, min_base_q):
+            digits = [K.base_digits(t) for t in texts] + [np.frombuffer(b"123", np.uint8)[np.where(state < 0, 0, 2 - state)]]
+            zero, one, n = np.zeros(len(skip), np.int64), np.ones(len(skip), np.int64), np.full(len(skip), width)
+            rows = [K.around(d, texts[0], zero, one, width, ord("0")) for d in digits]
+            yield pa.RecordBatch.from_arrays([*kept, *[K.without(K.strings(r.ravel(), n), skip) for r in rows]], names=[*keep, *names])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), *[f"{c} string" for c in names]]))
+
+
+def cpg_vectors(reads: DataFrame, keep: list[str], width: int, anchor: int, extend: int, *, min_base_q: int = 0) -> DataFrame:
+    """Two lists for every read (ref, bases, quals, molecule: whether on the minus strand), as ``reads.cpg_location_vector``
+    and ``reads.state_vector`` give them: ``locations``, ``width`` marks around the middle (1 CpG, 0 other, -1 outside the read),
+    and ``states``, the ``extend`` calls of ``min_base_q`` at least from offset ``anchor`` on, towards the start on the minus strand, null
+    where there is none. A read with any part missing gives nulls. Reads are called where they stand.
+    """
+    source, n_keep, half = _called_reads(reads, keep), len(keep), width // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, (ref, _), state, minus, skip in _read_batches(batches, n_keep, min_base_q):
+            n, middle = len(skip), ref.length // 2
+            marks = K.around(K.cpg_marks(ref, minus).astype(np.int8), ref, middle - half, np.ones(n, np.int64), width, -1)
+            # The middle stands at place ``half``; as many bases count before it as after it, itself included.
+            marks[np.abs(np.arange(width) - half)[None, :] >= middle[:, None]] = -1
+            walked = K.around(state, ref, np.full(n, anchor), np.where(minus, -1, 1), extend, -1).ravel()
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), v)
+                     for w, v in ((width, pa.array(marks.ravel())), (extend, pa.array(walked, mask=walked < 0)))]
+            yield pa.RecordBatch.from_arrays([*kept, *[K.without(v, skip) for v in lists]], names=[*keep, "locations", "states"])
+
+    return source.mapInArrow(run, ", ".join([*_types(source, keep), "locations array<tinyint>", "states array<tinyint>"]))
 
 
 def fragment_extents(reads: DataFrame, name: list[str]) -> DataFrame:

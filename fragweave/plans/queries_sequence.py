@@ -112,11 +112,9 @@ def cpg_counts(spark, sf):
 
 
 def cpg_locations(spark, sf):
-    t = B.aligned_reads(spark, sf)
-    v = R.cpg_location_vector(F.col("ref"), F.col("molecule"), 120)
-    s = R.state_vector(F.col("ref"), F.col("bases"), F.col("quals"), F.col("molecule"), F.lit(40), 30, 5)
-    return t.select("doc_id", "i", F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("locations"),
-                    F.array_join(F.transform(s, lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("."))), "").alias("states"))
+    t = FR.cpg_vectors(B.aligned_reads(spark, sf), ["doc_id", "i"], 120, 40, 30, min_base_q=5)
+    text = lambda c, *a: F.array_join(F.col(c).cast("array<string>"), *a)
+    return t.select("doc_id", "i", text("locations", ",").alias("locations"), text("states", "", ".").alias("states"))
 
 
 def merged_fragments(spark, sf):
@@ -135,9 +133,7 @@ def fragment_metrics(spark, sf):
 
 
 def fragment_digits(spark, sf):
-    t = B.aligned_reads(spark, sf)
-    states = R.base_states(F.col("ref"), F.col("bases"), F.col("quals"), F.col("molecule"), min_base_q=5)
-    return FR.fragment_digits(t, ["doc_id", "i"], "ref", "bases", states, 110).select("doc_id", "i", "ref_digits", "methy_digits")
+    return FR.fragment_digits(B.aligned_reads(spark, sf), ["doc_id", "i"], 110, min_base_q=5).select("doc_id", "i", "ref_digits", "methy_digits")
 
 
 def mate_pairs(spark, sf):
